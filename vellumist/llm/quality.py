@@ -302,7 +302,7 @@ def quality_rules(df: DataFrame, column: str = "text", key: str = "doc_id", lang
     spark = df.sparkSession
     scored = stored(score_quality(df, _Shared(spark, train(df, column)), column, key, lang), "quality")
     limits = spark.createDataFrame(bands(scored, lang), "band_lang string, median double, lower double, upper double")
-    reach = F.sqrt(F.least("n_words", F.lit(STEADY_WORDS)) / 100)
+    reach = F.sqrt(F.greatest(F.lit(1), F.least("n_words", F.lit(STEADY_WORDS))) / 100)
     scored = scored.withColumn("_reach", reach)
     return (
         scored.join(limits, F.coalesce(lang, F.lit("")) == F.col("band_lang"), "left")
