@@ -106,3 +106,9 @@ def test_packing_balances_costs():
 def test_empty_tables(spark):
     for f in (lambda d: T.count_tokens(d, T.vocabulary(T.BYTE_VOCABULARY)), lambda d: T.encode_decode(d, T.vocabulary(T.WORD_VOCABULARY)), lambda d: T.pack_documents(d, T.vocabulary(T.WORD_VOCABULARY))):
         assert f(empty(spark)).collect() == []
+
+
+def test_null_ids_stay_null(spark):
+    df = spark.createDataFrame([(None, "a b"), (2**53 + 1, "c")], "doc_id long, text string")
+    for f in (lambda d: T.count_tokens(d, T.vocabulary(T.BYTE_VOCABULARY)), lambda d: T.encode_decode(d, T.vocabulary(T.WORD_VOCABULARY)), lambda d: T.pack_documents(d, T.vocabulary(T.WORD_VOCABULARY))):
+        assert {r.doc_id for r in f(df).collect()} == {None, 2**53 + 1}

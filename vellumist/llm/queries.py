@@ -1,13 +1,14 @@
 """Queries of this subpackage by name, and their SQL where there is any."""
 
-from . import language, private, quality, tokens
+from . import language, private, quality, tokens, warc
 
 QUERIES = {
     "op2_kneser_ney_quality": quality.op2_kneser_ney_quality,
     "op4_anchor_expansion": private.op4_anchor_expansion,
     "op5_token_counts": tokens.op5_token_counts,
+    "op6_warc_normaliser": warc.op6_warc_normaliser,
     "op7_bpe_round_trip": tokens.op7_bpe_round_trip,
     "op8_recurrent_language_id": language.op8_recurrent_language_id,
     "op9_cost_balanced_packing": tokens.op9_cost_balanced_packing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_warc_normaliser": warc.SQL_OP6}

@@ -271,16 +271,16 @@ def pack_documents(df: DataFrame, path: str, column: str = "text", key: str = "d
 
         def flush() -> pa.RecordBatch:
             nonlocal base
-            names = pa.concat_arrays(keys).to_numpy(False)
+            names = pa.concat_arrays(keys)
             flat, n = np.concatenate(ids), np.concatenate(sizes)
             raw, at = memoryview(flat.astype("<u4").tobytes()), np.cumsum(n) - n
             pieces = pack(n, capacity)
             p = np.array(pieces, np.int64).reshape(-1, 5)
             first = 4 * (at[p[:, 0]] + p[:, 1])
             crc = [zlib.crc32(raw[a : a + 4 * b]) for a, b in zip(first.tolist(), p[:, 2].tolist())]
-            columns = [names[p[:, 0]], p[:, 1], p[:, 2], np.array(crc, np.int64), n[p[:, 0]], base + p[:, 3], p[:, 4]]
+            columns = [names.take(pa.array(p[:, 0])), p[:, 1], p[:, 2], np.array(crc, np.int64), n[p[:, 0]], base + p[:, 3], p[:, 4]]
             base += int(p[:, 3].max()) + 1
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), from_pandas=True) for c in columns], [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
             for part in slices(batch, column, 2_000_000):
