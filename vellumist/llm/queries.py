@@ -1,9 +1,10 @@
 """Queries of this subpackage by name, and their SQL where there is any."""
 
-from . import language, private, quality, tokens, warc
+from . import language, private, quality, similar, tokens, warc
 
 QUERIES = {
     "op2_kneser_ney_quality": quality.op2_kneser_ney_quality,
+    "op3_parity_sketch_join": similar.op3_parity_sketch_join,
     "op4_anchor_expansion": private.op4_anchor_expansion,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_warc_normaliser": warc.op6_warc_normaliser,
@@ -11,4 +12,4 @@ QUERIES = {
     "op8_recurrent_language_id": language.op8_recurrent_language_id,
     "op9_cost_balanced_packing": tokens.op9_cost_balanced_packing,
 }
-SQL: dict[str, str] = {"op6_warc_normaliser": warc.SQL_OP6}
+SQL: dict[str, str] = {"op3_parity_sketch_join": similar.SQL_OP3, "op6_warc_normaliser": warc.SQL_OP6}
