@@ -1,5 +1,7 @@
 """All queries over the driver's tables by name, with the same results in SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import boxes, corpus, pages, texts
+
+QUERIES: dict = texts.QUERIES | boxes.QUERIES | pages.QUERIES | corpus.QUERIES
+SQL: dict = texts.SQL | boxes.SQL | pages.SQL | corpus.SQL
 FLAGSHIP = "text_summary_by_lang"
