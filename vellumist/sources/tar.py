@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -216,8 +217,6 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 def header(content: str | Column) -> Column:
     """width, height and format of PNG or JPEG bytes; nulls for anything else."""
-    import pandas as pd
-
     @F.pandas_udf("width int, height int, format string")
     def run(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([size_of(bytes(x or b"")) for x in s], columns=["width", "height", "format"]).astype({"width": "Int32", "height": "Int32"})
