@@ -61,12 +61,16 @@ def input_bytes(df: DataFrame) -> int:
     try:
         return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
     except Exception:  # noqa: BLE001 - statistics are a hint only
-        return 1 << 40
+        return 1 << 60
 
 
 def shards(df: DataFrame, per_shard: int = 16_000_000, least: int = 12) -> int:
-    """How many shards a table exchanged by hash is cut into: in proportion to the input."""
-    return int(min(100_000, max(least, input_bytes(df) // per_shard)))
+    """How many shards a table exchanged by hash is cut into: in proportion to the input, or as many as a shuffle has where its
+    size isn't known (a table made in memory)."""
+    size = input_bytes(df)
+    if size >= 1 << 60:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return int(min(100_000, max(least, size // per_shard)))
 
 
 def scan(docs: DataFrame, columns: list[str]) -> DataFrame:
