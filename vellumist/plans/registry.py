@@ -4,4 +4,4 @@ from . import boxes, corpus, pages, texts
 
 QUERIES: dict = texts.QUERIES | boxes.QUERIES | pages.QUERIES | corpus.QUERIES
 SQL: dict = texts.SQL | boxes.SQL | pages.SQL | corpus.SQL
-FLAGSHIP = "text_summary_by_lang"
+FLAGSHIP = "text_summary_by_role"

@@ -32,8 +32,8 @@ def text_reading_metrics(spark, d):
     return c.select(*KEYS, T.reading_metrics(F.col("text"), F.replace("text", F.lit("th"), F.lit("ht"))).alias("m")).select(*KEYS, "m.*")
 
 
-def text_summary_by_lang(spark, d):
-    """Macro means and medians by language of prompt pairs' documents: here by the role that speaks."""
+def text_summary_by_role(spark, d):
+    """Macro means and medians by the role that speaks."""
     m = turns(spark, d).select("role", (F.col("expected") == F.col("predicted")).cast("double").alias("em"), T.distance_rate(F.col("expected"), F.col("predicted")).alias("cer"), T.anls(F.col("expected"), F.col("predicted")).alias("anls"))
     return m.groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg("em"), 6).alias("em"), F.round(F.avg("cer"), 6).alias("mean_cer"), F.round(F.median("cer"), 6).alias("median_cer"), F.round(F.avg("anls"), 6).alias("mean_anls")).orderBy("role")
 
@@ -132,7 +132,7 @@ def latex_fixups(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.concat(t, F.repeat(F.lit("}"), F.greatest(F.lit(0), opens - closes))).alias("latex"))
 
 
-QUERIES = {f.__name__: f for f in (text_em, text_cer, text_anls, text_wer, text_reading_metrics, text_summary_by_lang, text_clean, text_nfc, text_nfkc, text_cjk, placeholder_mark, placeholder_drop, predicted_text_extract, props_json, html_strip, html_md_classify, token_multiset_f1, token_counts, ned, qa_accuracy, rouge_l, soft_token_f1, conversation_prompt_pairs, latex_fixups)}
+QUERIES = {f.__name__: f for f in (text_em, text_cer, text_anls, text_wer, text_reading_metrics, text_summary_by_role, text_clean, text_nfc, text_nfkc, text_cjk, placeholder_mark, placeholder_drop, predicted_text_extract, props_json, html_strip, html_md_classify, token_multiset_f1, token_counts, ned, qa_accuracy, rouge_l, soft_token_f1, conversation_prompt_pairs, latex_fixups)}
 
 _TOKEN = r"[A-Za-z]+(?:[''-][A-Za-z]+)*|[0-9]+(?:[.,][0-9]+)*"
 _HTML = r"(?i)</?(html|body|div|p|span|table|tr|td|th|ul|ol|li|br|h[1-6]|a|img|script|style)\b[^>]*>"
@@ -145,7 +145,7 @@ SQL = {
     "text_em": f"WITH {TURNS} SELECT conv_id, turn, (expected = predicted)::INT AS exact_match FROM turns",
     "text_cer": f"WITH {TURNS} SELECT conv_id, turn, round({_CER}, 6) AS cer FROM turns",
     "text_anls": f"WITH {TURNS} SELECT conv_id, turn, round({_ANLS}, 6) AS anls FROM turns",
-    "text_summary_by_lang": f"WITH {TURNS}, m AS (SELECT role, (expected = predicted)::DOUBLE AS em, {_CER} AS cer, {_ANLS} AS anls FROM turns) SELECT role, count(*) AS n, round(avg(em), 6) AS em, round(avg(cer), 6) AS mean_cer, round(median(cer), 6) AS median_cer, round(avg(anls), 6) AS mean_anls FROM m GROUP BY role ORDER BY role",
+    "text_summary_by_role": f"WITH {TURNS}, m AS (SELECT role, (expected = predicted)::DOUBLE AS em, {_CER} AS cer, {_ANLS} AS anls FROM turns) SELECT role, count(*) AS n, round(avg(em), 6) AS em, round(avg(cer), 6) AS mean_cer, round(median(cer), 6) AS median_cer, round(avg(anls), 6) AS mean_anls FROM m GROUP BY role ORDER BY role",
     "text_clean": r"""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g')) AS clean FROM documents)
 SELECT doc_id, clean, len(list_filter(string_split(clean, ' '), lambda x: x <> ''))::INT AS n_words, CASE WHEN length(clean) <= 80 THEN clean ELSE regexp_replace(substr(clean, 1, 80), ' [^ ]*$', '') END AS head FROM c""",
     "text_nfc": "SELECT doc_id, nfc_normalize(text) AS text FROM documents",
