@@ -106,3 +106,19 @@ def test_tasks(spark):
     assert spark.range(1).select(tasks.type_list(F.lit("[lines, box]")).alias("t")).first()["t"] == ["lines", "box"]
     s = assignment.soft_matches(spark.createDataFrame([("a", ["color", "x"], ["colour", "y", "x"])], "k string, e array<string>, p array<string>"), "k", "e", "p", 0.8).first()
     assert (s.matched, s.n_expected, s.n_predicted) == (2, 2, 3)
+
+
+def test_answers_and_empty_pages(spark):
+    items = "array<struct<text: string, box: array<int>>>"
+    row = ([("b", [5, 9, 7, 12]), ("a", [0, 1, 2, 3])], [("w", [1, 1, 2, 2])], "all text", "lay out", [("w", [1, 1, 2, 2])])
+    df = spark.createDataFrame([row], f"lines {items}, words {items}, text string, text2d string, chosen {items}")
+    levels = {c: F.col(c) for c in ("lines", "words")}
+    cases = [("[text]", "reading", "all text"), ("[text2d]", "reading", "lay out"), ("[lines, box]", "reading", '[{"text":"a","bbox":[0,1,2,3]},{"text":"b","bbox":[5,9,7,12]}]'), ("[words]", "reading", '["w"]'), ("[box]", "detection", "[[0,1,2,3],[5,9,7,12]]"), ("[box]", "conditional_detection", "[[1,1,2,2]]"), ("[lines]", "localized_reading", "w"), ("[none]", "reading", None)]
+    got = df.select(*(tasks.answer(F.lit(o), F.lit(t), levels, F.col("text"), F.col("text2d"), F.col("chosen")).alias(f"c{i}") for i, (o, t, _) in enumerate(cases))).first()
+    assert list(got) == [w for *_, w in cases]
+    pages = spark.range(40).withColumnRenamed("id", "page")
+    rows = tasks.empty_prompts(pages, tasks.catalog(spark), "page").collect()
+    assert len(rows) == 40 and {r.answer for r in rows} == {"", "[]"} and len({r.template for r in rows}) > 3
+    for level in tasks.EXTENTS:
+        for r in pages.select(tasks.fake_boxes(F.col("page"), F.lit(800), F.lit(1000), level).alias("b")).collect():
+            assert all(0 <= a < c <= 800 and 0 <= b < d <= 1000 for a, b, c, d in r.b) and len(r.b) == 3

@@ -77,3 +77,49 @@ def next_turn(turns: DataFrame, by: str, order: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(order)
     rows = turns.withColumn("answer", F.lead("text").over(w)).withColumn("next_role", F.lead("role").over(w))
     return rows.where("role = 'user' and next_role = 'assistant'").select(by, order, F.col("text").alias("prompt"), "answer")
+
+
+#: Shares of page width and height that boxes of a level take: least and most width, least and most height.
+EXTENTS = {"words": (0.02, 0.10, 0.01, 0.03), "lines": (0.20, 0.80, 0.01, 0.03), "paragraphs": (0.30, 0.90, 0.05, 0.20)}
+
+
+def fake_boxes(page: Column, width: Column, height: Column, level: str = "lines", n: int = 3, seed: str = "42") -> Column:
+    """``n`` boxes inside a page that has none of its own, drawn from its key alone."""
+    w0, w1, h0, h1 = EXTENTS[level]
+
+    def one(i: Column) -> Column:
+        u = [uniform(F.concat_ws("/", page.cast("string"), i.cast("string"), F.lit(k)), seed) for k in "abcd"]
+        w, h = (width * (w0 + (w1 - w0) * u[0])).cast("int"), (height * (h0 + (h1 - h0) * u[1])).cast("int")
+        x, y = ((width - w) * u[2]).cast("int"), ((height - h) * u[3]).cast("int")
+        return F.array(x, y, x + F.greatest(w, F.lit(1)), y + F.greatest(h, F.lit(1)))
+
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), one)
+
+
+def answer(output_type: Column, task: Column, levels: dict[str, Column], text: Column, text2d: Column, chosen: Column) -> Column:
+    """The expected answer: text, layout text, boxes or items of a level as JSON, or the chosen item's own; null where a level is missing.
+
+    ``levels`` hold items (text, box) of lines, words, paragraphs and latex; ``chosen`` is the item or the items that a localized or
+    conditional question is about.
+    """
+    about = task.isin("conditional_detection", "localized_reading")
+    order = lambda c: F.array_sort(F.transform(c, lambda i: F.struct(F.get(i["box"], F.lit(1)).alias("y"), F.get(i["box"], F.lit(0)).alias("x"), i["text"].alias("text"), i["box"].alias("box"))))
+    out = F.when(about & output_type.contains("box"), F.to_json(F.transform(order(chosen), lambda i: i["box"])))
+    out = out.when(about, F.array_join(F.transform(order(chosen), lambda i: i["text"]), " "))
+    out = out.when(output_type.contains("text2d"), text2d).when(output_type.contains("text"), text)
+    for name, items in levels.items():
+        full = F.to_json(F.transform(order(items), lambda i: F.struct(i["text"].alias("text"), i["box"].alias("bbox"))))
+        out = out.when(output_type.contains(name) & output_type.contains("box"), full)
+        out = out.when(output_type.contains(name), F.to_json(F.transform(order(items), lambda i: i["text"])))
+    return out.when(output_type.contains("box"), F.to_json(F.transform(order(levels["lines"]), lambda i: i["box"])))
+
+
+def empty_prompts(pages: DataFrame, tasks: DataFrame, page: str, seed: str = "42") -> DataFrame:
+    """(page, task, template, question, answer) for pages without text: a template by a draw from the key, and its empty answer.
+
+    Templates about one item are left out, as an empty page has none.
+    """
+    usable = tasks.where(~F.col("task").isin("conditional_detection", "localized_reading"))
+    p = picked(pages.select(page).join(F.broadcast(usable)), page, seed)
+    kinds = F.broadcast(usable.select("template", "output_type"))
+    return p.join(kinds, "template").select(page, "task", "template", "question", F.when(F.col("output_type").contains("box"), "[]").otherwise("").alias("answer"))
