@@ -58,12 +58,12 @@ def test_pruning_leaves_blocks_out():
     shard = S.Shard(list(range(4000)), terms, first, docs, tf.astype(float), lengths, np.diff(first), 4000, int(lengths.sum()))
     q = S.Words(*S.buffers(pa.array(["rare special words here common"])), lower=True).hashes()
     seen = []
-    old = S.gather
-    S.gather = lambda flat, begin, size: (seen.append(int(size.sum())), old(flat, begin, size))[1]
+    old = S.places
+    S.places = lambda begin, size: (seen.append(int(size.sum())), old(begin, size))[1]
     try:
         best = shard.search(np.searchsorted(terms, np.sort(q)), 4)
     finally:
-        S.gather = old
+        S.places = old
     assert [d for _, d in best] == [5, 6, 7, 9]
     assert sum(seen[1:]) < 0.25 * 4000
 

@@ -42,6 +42,11 @@ def balanced(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indexes of the runs begin:begin + size, one after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs flat[begin:begin + size], one after another."""
     total = int(size.sum())

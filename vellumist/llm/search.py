@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .counts import Answers, ranked
-from .memo import gather
+from .memo import places
 from .shared import blocks, filesystem, fresh, scan
 from .text import Words, buffers, distinct, slices
 
@@ -71,7 +71,7 @@ class Shard:
     def search(self, terms: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(score rounded to six places, document) of the best k of this shard; ``terms`` are places in self.terms, rising."""
         begin = self.run_first[terms]
-        runs = gather(np.arange(len(self.run)), begin, self.run_first[terms + 1] - begin)
+        runs = places(begin, self.run_first[terms + 1] - begin)
         if not len(runs):
             return []
         block = self.run_block[runs]
@@ -86,9 +86,8 @@ class Shard:
             chosen = np.zeros(self.n_blocks, bool)
             chosen[order[at:stop]] = True
             mine = runs[chosen[block]]
-            places = gather(np.arange(len(self.docs)), self.run[mine], self.run_size[mine])
-            d = self.docs[places]
-            s = np.bincount(d, self.impact[places])
+            at_ = places(self.run[mine], self.run_size[mine])
+            s = np.bincount(self.docs[at_], self.impact[at_])
             found = np.flatnonzero(s)
             scores, docs = np.concatenate([scores, s[found]]), np.concatenate([docs, found])
             if len(scores) > k:
