@@ -1,8 +1,9 @@
 """1. Exact top-k search: BM25 over an inverted index in shards, with block-max WAND dynamic pruning.
 
 A shard indexes a block of documents by word hash; every K_BLOCK documents of a posting list have their maximum kept. A query first
-adds up the maxima of each such block, takes blocks in falling order of that bound, scores their documents exactly, and leaves all
-blocks whose bound is below the k-th score so far. Document frequencies and lengths are global and exact, so shards' results merge exactly.
+adds up the maxima of each such block, scores the documents of the FIRST blocks by that bound exactly, and then those of all further
+blocks but the ones whose bound is below the k-th score so far. Documents lie in the shard by their most frequent word, so that blocks
+are alike within and bounds tight. Document frequencies and lengths are global and exact, so shards' results merge exactly.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .shared import blocks, filesystem, fresh, scan
 from .text import Words, buffers, distinct, slices
 
 K1, B, TOP = 1.2, 0.75, 10
+FIRST = 8  # blocks that a query begins with
 K_BLOCK = 6  # documents in a block of a posting list, as a power of two
 QUERY_GROUP = 4096  # queries that a task runs against a shard at a time
 EVERY = 100  # the query set: ids divisible by it
@@ -29,18 +31,33 @@ _N, _LENGTH = np.uint64(0x1111111122222222), np.uint64(0x3333333344444444)  # ke
 _SLACK = 1e-5  # bounds are compared with so much to spare, for rounding
 
 
-def postings(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, first, docs, tf, lengths): term i's documents are docs[first[i]:first[i + 1]], rising."""
+def _reordered(n: np.ndarray, first: np.ndarray, at: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths and terms of documents in order of their most frequent term, and that order."""
+    code = np.sort(np.repeat(np.arange(len(n)), n) * max(1, n_terms) + at)
+    heads = distinct(code)
+    tf = np.diff(np.append(heads, len(code)))
+    doc, term = code[heads] // max(1, n_terms), code[heads] % max(1, n_terms)
+    top = np.full(len(n), -1)
+    by = np.lexsort((term, -tf, doc))
+    lead = by[distinct(doc[by])]
+    top[doc[lead]] = term[lead]
+    order = np.lexsort((n, top))
+    return n[order], at[places(first[:-1][order], n[order])], order
+
+
+def postings(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, first, docs, tf, lengths, order): term i's documents are docs[first[i]:first[i + 1]], rising; document d is row order[d]."""
     data, offsets = buffers(column)
     w = Words(data, offsets, lower=True)
     n = np.diff(w.first)
     terms, at = ranked(w.hashes())
+    n, at, order = _reordered(n, w.first, at, len(terms))
     code = np.sort(at.astype(np.int64) * max(1, len(n)) + np.repeat(np.arange(len(n)), n))
     heads = distinct(code)
     tf = np.diff(np.append(heads, len(code)))
     code = code[heads]
     term, doc = code // max(1, len(n)), code % max(1, len(n))
-    return terms, np.searchsorted(term, np.arange(len(terms) + 1)), doc, tf, n
+    return terms, np.searchsorted(term, np.arange(len(terms) + 1)), doc, tf, n, order
 
 
 def _with_totals(terms: np.ndarray, counts: np.ndarray, n_docs: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,6 +85,16 @@ class Shard:
         self.run_first = np.searchsorted(self.run, first)
         self.n_blocks = (len(ids) >> K_BLOCK) + 1
 
+    def _scored(self, runs: np.ndarray, block: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of the wanted blocks that have a term, and their exact scores."""
+        chosen = np.zeros(self.n_blocks, bool)
+        chosen[wanted] = True
+        mine = runs[chosen[block]]
+        at = places(self.run[mine], self.run_size[mine])
+        s = np.bincount(self.docs[at], self.impact[at])
+        found = np.flatnonzero(s)
+        return found, s[found]
+
     def search(self, terms: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(score rounded to six places, document) of the best k of this shard; ``terms`` are places in self.terms, rising."""
         begin = self.run_first[terms]
@@ -78,24 +105,22 @@ class Shard:
         bound = np.bincount(block, self.run_max[runs], self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        scores, docs, threshold, at, take = np.zeros(0), np.zeros(0, np.int64), 0.0, 0, 4
-        while at < len(order):
-            stop = min(at + take, int(np.searchsorted(-bound[order], -(threshold - _SLACK), "right")))
-            if stop <= at:
-                break
-            chosen = np.zeros(self.n_blocks, bool)
-            chosen[order[at:stop]] = True
-            mine = runs[chosen[block]]
-            at_ = places(self.run[mine], self.run_size[mine])
-            s = np.bincount(self.docs[at_], self.impact[at_])
-            found = np.flatnonzero(s)
-            scores, docs = np.concatenate([scores, s[found]]), np.concatenate([docs, found])
-            if len(scores) > k:
-                keep = scores >= np.partition(scores, -k)[-k] - _SLACK
-                scores, docs = scores[keep], docs[keep]
-            if len(scores) >= k:
-                threshold = float(np.partition(scores, -k)[-k])
-            at, take = stop, take * 2
+        first = order[:FIRST]
+        docs, scores = self._scored(runs, block, first)
+        if len(order) > FIRST:
+            threshold = float(np.partition(scores, -k)[-k]) if len(scores) >= k else 0.0
+            rest = order[FIRST : int(np.searchsorted(-bound[order], -(threshold - _SLACK), "right"))]
+            if 2 * len(rest) > len(order):  # few are left out: whole lists are read faster than pieces of them
+                at = places(self.first[terms], self.first[terms + 1] - self.first[terms])
+                s = np.bincount(self.docs[at], self.impact[at])
+                docs = np.flatnonzero(s)
+                scores = s[docs]
+            elif len(rest):
+                more, s = self._scored(runs, block, rest)
+                docs, scores = np.concatenate([docs, more]), np.concatenate([scores, s])
+        if len(scores) > k:
+            keep = scores >= np.partition(scores, -k)[-k] - _SLACK
+            scores, docs = scores[keep], docs[keep]
         best = sorted(zip((-np.round(scores, 6)).tolist(), docs.tolist()), key=lambda x: (x[0], self.ids[x[1]] is None, self.ids[x[1]] or 0, x[1]))
         return [(-s, d) for s, d in best[:k]]
 
@@ -110,7 +135,7 @@ def build(docs: DataFrame, root: str) -> DataFrame:
     """Writes a shard file for each block of ``docs`` (_key, text of :func:`scan`); a row with its path for each."""
 
     def of_block(rows: pa.Table):
-        terms, first, _, _, lengths = postings(rows.column("text"))
+        terms, first, _, _, lengths, _ = postings(rows.column("text"))
         keys, counts, _ = _with_totals(terms, np.diff(first), len(lengths), int(lengths.sum()))
         return keys, counts, np.zeros(len(keys), np.uint8)
 
@@ -120,11 +145,11 @@ def build(docs: DataFrame, root: str) -> DataFrame:
         fs, base = filesystem(root)
         fs.create_dir(base, recursive=True)
         for block, rows in blocks(batches, "text"):
-            terms, first, docs_, tf, lengths = postings(rows.column("text"))
+            terms, first, docs_, tf, lengths, rank = postings(rows.column("text"))
             _, _, order = _with_totals(terms, np.diff(first), 0, 0)
             total = np.empty(len(order), np.int64)
             total[order] = read(block)
-            ids = rows.column("_key").to_pylist()
+            ids = rows.column("_key").take(pa.array(rank)).to_pylist()
             path = f"{base}/{uuid.uuid4().hex}.npz"  # new in each attempt
             arrays = {"ids": np.array([0 if i is None else i for i in ids], np.int64), "real": np.array([i is not None for i in ids], bool), "terms": terms, "first": first.astype(np.int64), "docs": docs_.astype(np.uint32 if len(ids) > 65535 else np.uint16), "tf": tf.astype(np.uint32 if len(tf) and tf.max() > 65535 else np.uint16), "lengths": lengths.astype(np.int64), "df": total[:-2], "totals": total[-2:]}
             with fs.open_output_stream(path, compression=None) as f:
