@@ -7,7 +7,6 @@ one entry a block however often it occurs, and no shard or block holds more than
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,33 +29,43 @@ def ask(docs: DataFrame, of_block: Callable, column: str = "text", n_shards: int
             keys, counts, group = of_block(rows)
             edges = np.searchsorted(keys, (np.arange(1, n_shards, dtype=np.float64) * (2.0**64 / n_shards)).astype(np.uint64))
             edges = np.concatenate(([0], edges, [len(keys)]))
-            pack = lambda a: pa.array([zlib.compress(a[edges[s] : edges[s + 1]].tobytes(), 1) for s in range(n_shards)], pa.binary())
-            raw = pa.array([keys[edges[s] : edges[s + 1]].tobytes() for s in range(n_shards)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_shards)), pa.array(np.full(n_shards, block)), raw, pack(counts.astype(np.int64)), pack(group.astype(np.uint8))], ["shard", "block", "keys", "counts", "groups"])
+            pack = lambda a: pa.array([a[edges[s] : edges[s + 1]].tobytes() for s in range(n_shards)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_shards)), pa.array(np.full(n_shards, block)), pack(keys), pack(counts.astype(np.int32)), pack(group.astype(np.uint8))], ["shard", "block", "keys", "counts", "groups"])
 
     return docs.mapInArrow(run, "shard long, block long, keys binary, counts binary, groups binary")
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest of them needs; the first byte tells which."""
+    top = int(values.max()) if len(values) else 0
+    kind = next(k for k in "BHIq" if top <= np.iinfo(k).max)
+    return kind.encode() + values.astype(kind).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, chr(raw[0]), offset=1).astype(np.int64)
+
+
 class Answers:
     """Totals by block, the most frequent keys, and the totals of each group."""
 
     def __init__(self, docs: DataFrame, of_block: Callable, column: str = "text", top: int = 0, block_bytes: int = 16_000_000):
         spark = docs.sparkSession
-        self.path, self.parts = fresh(spark, "totals"), max(1, input_bytes(docs) // PER_FOLDER)
+        self.path, self.parts = fresh(spark, "totals"), max(1, min(100_000, input_bytes(docs) // PER_FOLDER))
         parts = self.parts
 
         def add(table: pa.Table) -> pa.Table:
             keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-            counts = np.concatenate([np.frombuffer(zlib.decompress(x), np.int64) for x in table.column("counts").to_pylist()])
-            groups = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in table.column("groups").to_pylist()])
+            counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+            groups = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("groups").to_pylist()])
             every = np.concatenate(keys)
             order = np.argsort(every)
-            heads = distinct(every[order])
+            in_order = every[order]
+            heads = distinct(in_order)
             total = np.add.reduceat(counts[order], heads) if len(heads) else np.zeros(0, np.int64)
-            inverse = np.empty(len(every), np.int64)
-            inverse[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(every))))
-            answers, at = total[inverse], np.cumsum([0, *map(len, keys)])
-            data = [zlib.compress(answers[a:b].tobytes(), 1) for a, b in zip(at, at[1:])]
+            answers, at = np.empty(len(every), np.int64), np.cumsum([0, *map(len, keys)])
+            answers[order] = np.repeat(total, np.diff(np.append(heads, len(every))))
+            data = [_packed(answers[a:b]) for a, b in zip(at, at[1:])]
             rows = [(_ANSWER, block, shard, 0, 0, x) for block, shard, x in zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), data)]
             one = order[heads]
             seen = total > 0
@@ -88,7 +97,7 @@ class Answers:
 
             fs, base = filesystem(f"{path}/part={block % parts}")
             t = ds.dataset(base, filesystem=fs, format="parquet").to_table(columns=["a", "data"], filter=ds.field("block") == block).sort_by("a")
-            got = [np.frombuffer(zlib.decompress(x), np.int64) for x in t.column("data").to_pylist()]
+            got = [_unpacked(x) for x in t.column("data").to_pylist()]
             return np.concatenate(got) if got else np.zeros(0, np.int64)
 
         return read
