@@ -63,6 +63,24 @@ def test_bands_reject_what_is_unlike_its_language(spark):
     assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == set(range(60))
 
 
+def test_copies_set_neither_model_nor_bands(spark):
+    import random
+
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice(["th", "er", "an", "in", "on"]) for _ in range(r.randint(1, 4))) for _ in range(300)]
+    texts = [" ".join(r.choice(vocabulary[k % 5 * 50 :]) for _ in range(120)) for k in range(60)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(100 + i, texts[7], "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    once = df.where("doc_id < 100")
+    grams = lambda d: sorted(map(tuple, Q.count_ngrams(d).collect()))
+    k, n = np.unique(Q.ngrams(*buffers(pa.array(texts))), return_counts=True)
+    assert grams(df) == grams(once) == sorted(zip(k.astype(int).tolist(), n.tolist()))
+    want = {x.doc_id: x for x in Q.quality_rules(once).collect()}
+    got = {x.doc_id: x for x in Q.quality_rules(df).collect()}
+    assert len(got) == 360 and all(got[i] == want[i] for i in want) and sum(x.kept for x in got.values()) == 360
+    assert Q.keep_good(df).count() == 360
+
+
 def test_small_tables(spark):
     assert Q.quality_rules(empty(spark)).collect() == [] and Q.keep_good(empty(spark)).collect() == []
     rows = {x.doc_id: x for x in Q.quality_rules(table(spark)).collect()}

@@ -1,7 +1,7 @@
 """2. Quality rules: base counts, and the perplexity of a modified Kneser-Ney n-gram model with bands for each language.
 
 The model is over 4-grams of 64 symbols (letters without case, digits as one, marks, classes of UTF-8 bytes), counted by Spark over
-all documents. There are at most 2**24 different 4-grams whatever the input, so what is collected, smoothed and broadcast has a
+all distinct texts: however many copies a text has, it counts once in the model and once in its language's band. There are at most 2**24 different 4-grams whatever the input, so what is collected, smoothed and broadcast has a
 proven bound (134 MB; about a hundredth of it on real text). It is stored as a sorted array of hashes with probabilities.
 """
 
@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, stored
+from .counts import Answers, ranked
+from .shared import blocks, fresh, scan, stored
 from .text import Words, buffers, distinct, hash_pieces, mix, slices
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -71,26 +72,61 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return k[keep]
 
 
+def text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each whole text."""
+    return hash_pieces(np.concatenate([data, np.zeros(16, np.uint8)]), offsets[:-1], np.diff(offsets))
+
+
 def count_ngrams(df: DataFrame, column: str = "text") -> DataFrame:
-    """(gram, n) over all texts, summed within each task before the shuffle: at most 2**24 rows a task."""
+    """(gram, n) over all distinct texts, summed within each task before the shuffle: at most 2**24 rows a task.
+
+    Of a text's copies, each block counts one, as the share of all copies that the block holds; the shares add up to one text. How
+    many copies there are comes from ``Answers``, where a block sends each of its texts' hashes once.
+    """
+    docs = scan(df, [column])
+
+    def of_block(rows: pa.Table):
+        keys, at = ranked(text_hashes(*buffers(rows.column(column))))
+        return keys, np.bincount(at, minlength=len(keys)), np.zeros(len(keys), np.uint8)
+
+    read = Answers(docs, of_block, column).reader()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        for batch in batches:
-            for part in slices(batch, column):
-                k = np.sort(ngrams(*buffers(part.column(column))))
-                heads = distinct(k)
-                keys = np.concatenate([keys, k[heads]])
-                counts = np.concatenate([counts, np.diff(np.append(heads, len(k)))])
-                order = np.argsort(keys)
-                keys, counts = keys[order], counts[order]
-                heads = distinct(keys)
-                if len(heads):
-                    keys, counts = keys[heads], np.add.reduceat(counts, heads)
+        keys, counts = np.zeros(0, np.uint32), np.zeros(0)
+        for block, rows in blocks(batches, column):
+            texts, at = ranked(text_hashes(*buffers(rows.column(column))))
+            copies = read(block)
+            if len(copies) != len(texts):
+                raise RuntimeError("a block changed between two passes")
+            own, one = np.bincount(at, minlength=len(texts)), np.empty(len(texts), np.int64)
+            one[at[::-1]] = np.arange(len(at))[::-1]  # the first copy in the block
+            whole = own == copies
+            for chosen, share in ((one[whole], None), (one[~whole], (own / copies)[~whole])):
+                done = 0
+                for part in slices(rows.take(pa.array(chosen)), column):
+                    data, offsets = buffers(part.column(column))
+                    k = ngrams(data, offsets)
+                    if share is None:
+                        k.sort()
+                        heads = distinct(k)
+                        n = np.diff(np.append(heads, len(k))).astype(np.float64)
+                    else:
+                        order = np.argsort(k)
+                        each = np.repeat(share[done : done + part.num_rows], np.diff(offsets))[order]
+                        k = k[order]
+                        heads = distinct(k)
+                        n = np.add.reduceat(each, heads) if len(heads) else np.zeros(0)
+                    done += part.num_rows
+                    keys, counts = np.concatenate([keys, k[heads]]), np.concatenate([counts, n])
+                    order = np.argsort(keys)
+                    keys, counts = keys[order], counts[order]
+                    heads = distinct(keys)
+                    if len(heads):
+                        keys, counts = keys[heads], np.add.reduceat(counts, heads)
         for a in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].astype(np.int32)), pa.array(counts[a : a + 100_000])], ["gram", "n"])
 
-    return df.select(column).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "gram int, n double").groupBy("gram").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -150,7 +186,7 @@ class Model:
 
 
 def train(df: DataFrame, column: str = "text") -> Model:
-    """The model of all texts of ``df``."""
+    """The model of all distinct texts of ``df``."""
     t = count_ngrams(df, column).toArrow()
     return Model(t.column("gram").to_numpy(), t.column("n").to_numpy())
 
@@ -241,12 +277,13 @@ def _scores(part: pa.RecordBatch, column: str, table: np.ndarray) -> tuple[dict[
     logs = np.concatenate(([0.0], np.cumsum(table[ngrams(data, offsets)], dtype=np.float64)))
     with np.errstate(invalid="ignore", divide="ignore"):
         score = np.where(counts["n_words"] > 0, -(logs[offsets[1:]] - logs[offsets[:-1]]) / counts["n_words"], np.nan)
+    counts["text"] = text_hashes(data, offsets).view(np.int64)
     counts["failed"] = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
     return counts, score
 
 
 def score_quality(df: DataFrame, model: _Shared, column: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """Base counts and log10 perplexity a word (null without words) of each whole text. No shuffle."""
+    """Base counts and log10 perplexity a word (null without words) of each whole text, and its hash. No shuffle."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,21 +291,23 @@ def score_quality(df: DataFrame, model: _Shared, column: str = "text", key: str
         for batch in batches:
             for part in slices(batch, column):
                 counts, score = _scores(part, column, table)
-                yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), part.column(lang).cast(pa.string()), *(pa.array(counts[k].astype(np.int64)) for k in names), pa.array(counts["failed"]), pa.array(score, from_pandas=True)], [key, lang, *names, "base_failed", "log_perplexity"])
+                yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), part.column(lang).cast(pa.string()), *(pa.array(counts[k].astype(np.int64)) for k in names), pa.array(counts["failed"]), pa.array(score, from_pandas=True), pa.array(counts["text"])], [key, lang, *names, "base_failed", "log_perplexity", "_text"])
 
-    return df.select(key, lang, column).mapInArrow(run, f"{key} long, {lang} string, " + "".join(f"{k} long, " for k in names) + "base_failed boolean, log_perplexity double")
+    return df.select(key, lang, column).mapInArrow(run, f"{key} long, {lang} string, " + "".join(f"{k} long, " for k in names) + "base_failed boolean, log_perplexity double, _text long")
 
 
 def bands(scored: DataFrame, lang: str = "lang") -> list[tuple[str, float, float, float]]:
-    """(language, median, lower, upper) of log10 perplexity over the documents that pass the base rules.
+    """(language, median, lower, upper) of log10 perplexity over the distinct texts that pass the base rules.
 
     A text's distance from its language's median is weighed by the root of its length, as short texts vary more; the bands reach a
     number of quartile distances of that. Quartiles come from exact counts in bins of 1 / BIN and a few length classes, so the
-    driver gets a bounded histogram for each language.
+    driver gets a bounded histogram for each language. Copies are dropped by hash within each task before they are shuffled.
     """
     rows = (
         scored.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull())
-        .groupBy(F.coalesce(lang, F.lit("")).alias("lang"), F.floor(F.col("log_perplexity") * BIN).alias("bin"), F.floor(F.log2(F.least("n_words", F.lit(STEADY_WORDS))) * 4).alias("size"))
+        .select(F.coalesce(lang, F.lit("")).alias("lang"), F.floor(F.col("log_perplexity") * BIN).alias("bin"), F.floor(F.log2(F.least("n_words", F.lit(STEADY_WORDS))) * 4).alias("size"), "_text")
+        .distinct()
+        .groupBy("lang", "bin", "size")
         .count()
         .collect()
     )
@@ -297,7 +336,7 @@ def quality_rules(df: DataFrame, column: str = "text", key: str = "doc_id", lang
     """Counts, perplexity and verdict of each document.
 
     A null or empty text fails the base rules. A document without a language, or of one with few documents, is judged by the base
-    rules alone if its group has fewer than LEAST_DOCUMENTS. Repeated rows are judged each; an empty table gives no rows.
+    rules alone if its group has fewer than LEAST_DOCUMENTS different texts. Repeated rows are judged each; an empty table gives no rows.
     """
     spark = df.sparkSession
     scored = stored(score_quality(df, _Shared(spark, train(df, column)), column, key, lang), "quality")
@@ -309,7 +348,7 @@ def quality_rules(df: DataFrame, column: str = "text", key: str = "doc_id", lang
         .withColumn("lower_band", F.col("median") + F.col("lower") / F.col("_reach"))
         .withColumn("upper_band", F.col("median") + F.col("upper") / F.col("_reach"))
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower_band"), F.col("upper_band")), F.lit(True)))
-        .drop("band_lang", "median", "lower", "upper", "_reach", lang)
+        .drop("band_lang", "median", "lower", "upper", "_reach", "_text", lang)
     )
 
 
