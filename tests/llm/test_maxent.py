@@ -60,6 +60,26 @@ def test_gradient_steps_lower_the_loss():
     assert loss() < 0.6 * before
 
 
+def test_a_step_sums_the_gradients_of_all_tokens_of_a_row():
+    r = np.random.default_rng(2)
+    rows, target = r.integers(0, 9, (M.FEATURES, 40)), r.integers(0, M.CLASSES, 40)
+    rows[1, :20] = rows[0, :20]  # a row shared by features, twice for one token
+    m = M.Learner(r.normal(size=M.CLASSES))
+    m.table[:9] = r.normal(size=(9, M.CLASSES))
+    table, power = m.table.astype(np.float64), m.power.astype(np.float64)
+    s = sum(table[x] for x in rows) + m.bias
+    g = np.exp(s) / np.exp(s).sum(1, keepdims=True)
+    g[np.arange(40), target] -= 1
+    total = np.zeros_like(table)
+    for x in rows:
+        np.add.at(total, x, g)
+    power += (total**2).sum(1)
+    m.learn(rows, target)
+    assert np.allclose(m.power, power, rtol=1e-3)
+    assert np.allclose(m.table, table - total * (M.RATE / np.sqrt(power))[:, None], atol=1e-4)
+    assert (m.used == np.bincount(rows.ravel(), minlength=M.ROWS)).all()
+
+
 def test_totals_of_blocks_that_are_split(spark, tmp_path):
     texts = corpus(300)
     path = str(tmp_path / "d")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .counts import Answers, ranked
 from .shared import blocks, fresh, scan
-from .text import Words, buffers, mix
+from .text import Words, buffers, distinct, mix
 
 OWN, ENDINGS = 32, 16  # classes: frequent words, and endings of all others
 CLASSES = OWN + ENDINGS
@@ -84,7 +84,7 @@ def log_softmax(table: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.nda
 class Learner:
     """Stochastic gradient steps of one task, each row of the table with a rate that falls with its own gradients (Adagrad).
 
-    A step takes STEP tokens; of those that share a row it applies one's gradient, so rows move once a step and none overshoots.
+    A step takes STEP tokens and adds up the gradients of all that share a row, of whatever feature, so each row moves once a step.
     """
 
     def __init__(self, bias: np.ndarray):
@@ -94,20 +94,21 @@ class Learner:
     def learn(self, rows: np.ndarray, target: np.ndarray) -> None:
         for a in range(0, len(target), STEP):
             r, t = rows[:, a : a + STEP], target[a : a + STEP]
-            had = [self.table[x] for x in r]
-            g = had[0] + had[1]
-            for h in had[2:]:
-                g += h
+            g = self.table[r[0]]
+            for x in r[1:]:
+                g += self.table[x]
             g += self.bias
             g -= g.max(1, keepdims=True)
             np.exp(g, g)
             g /= g.sum(1, keepdims=True)
             g[np.arange(len(t)), t] -= 1
-            size = np.einsum("ij,ij->i", g, g)
-            for x, h in zip(r, had):
-                power = self.power[x] + size
-                self.power[x] = power
-                self.table[x] = h - g * (RATE / np.sqrt(power))[:, None]
+            every = r.ravel()
+            order = np.argsort(every, kind="stable")
+            heads = distinct(every[order])
+            at, total = every[order[heads]], np.add.reduceat(g[order % len(t)], heads)
+            self.power[at] += np.einsum("ij,ij->i", total, total)
+            total *= (RATE / np.sqrt(self.power[at]))[:, None]
+            self.table[at] -= total
         for x in rows:
             self.used += np.bincount(x, minlength=ROWS).astype(np.float32)
 
