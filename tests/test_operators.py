@@ -94,6 +94,27 @@ def test_k_center_equals_the_matrix(spark):
     assert diversity.k_center(df.limit(0), 3).collect() == []
 
 
+def test_full_order_ranks_every_row(spark):
+    from vellumist.plans import registry
+
+    r = np.random.default_rng(5)
+    v = np.concatenate([r.normal(size=(60, 8)) + 3 * np.eye(8)[k] for k in range(5)])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(999, None)], "vec_id long, embedding array<double>")
+    want = diversity.greedy_order(v)
+    for candidates in (20, 8192):
+        rows = diversity.full_order(df, candidates=candidates).collect()
+        assert [x.vec_id for x in rows] == want and [x.rank for x in rows] == list(range(1, 301))
+        assert all(a.radius_after == b.radius_before for a, b in zip(rows, rows[1:])) and rows[-1].radius_after == 0
+    assert diversity.full_order(df.limit(0)).collect() == []
+    copies = spark.createDataFrame([(i, [float(i % 3 == 0), float(i % 3 == 1), float(i % 3 == 2)]) for i in range(9)], "vec_id long, embedding array<double>")
+    assert [x.vec_id for x in diversity.full_order(copies, candidates=2).collect()] == list(range(9))
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").toArrow()
+    rows = registry.QUERIES["kcenter_full"](spark, "/root/testdata/sf0.001").collect()
+    order = diversity.greedy_order(np.array(e.column("embedding").to_pylist()))
+    assert [x.vec_id for x in rows] == [e.column("vec_id")[i].as_py() for i in order] and len(rows) == e.num_rows
+
+
 def test_rules_let_nulls_pass(spark):
     df = spark.createDataFrame([(1, None), (2, 5.0), (3, 50.0)], "i int, m double")
     assert [r.b for r in df.select(stats.violates([("m", ">", 10)]).alias("b")).collect()] == [False, False, True]

@@ -15,7 +15,7 @@ def kcenter_rank5(spark, d):
 
 
 def kcenter_full(spark, d):
-    return diversity.k_center(table(spark, d, "embeddings"), 40)
+    return diversity.full_order(table(spark, d, "embeddings"))
 
 
 def _curve(spark, d):
