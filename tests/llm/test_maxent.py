@@ -29,6 +29,10 @@ def corpus(n=400):
     return out
 
 
+def learner(bias):
+    return M.Learner(bias, np.zeros((M.LEAST_ROWS, M.CLASSES), np.float32), np.full(M.LEAST_ROWS, 1e-3, np.float32))
+
+
 def test_base_by_brute_force_and_model_on_held_out(spark):
     texts = corpus() + TEXTS
     rows = {r.doc_id: r for r in M.score_texts(table(spark, texts).repartition(3)).collect()}
@@ -45,14 +49,14 @@ def test_base_by_brute_force_and_model_on_held_out(spark):
 
 def test_probabilities_add_up_to_one():
     r = np.random.default_rng(1)
-    p = np.exp(M.log_softmax(r.normal(size=(M.ROWS, M.CLASSES)).astype(np.float32), np.zeros(M.CLASSES, np.float32), r.integers(0, M.ROWS, (M.FEATURES, 50))))
+    p = np.exp(M.log_softmax(r.normal(size=(M.LEAST_ROWS, M.CLASSES)).astype(np.float32), np.zeros(M.CLASSES, np.float32), r.integers(0, M.LEAST_ROWS, (M.FEATURES, 50))))
     assert np.allclose(p.sum(1), 1, atol=1e-4)
 
 
 def test_gradient_steps_lower_the_loss():
     t = M.Tokens(pa.array(corpus()))
     own = np.sort(np.unique(t.h)[:10])
-    m, f, y = M.Learner(np.zeros(M.CLASSES)), t.features(), t.classes(own)
+    m, f, y = learner(np.zeros(M.CLASSES)), t.features(M.LEAST_ROWS), t.classes(own)
     loss = lambda: -M.log_softmax(m.table, m.bias, f)[np.arange(len(y)), y].mean()
     before = loss()
     for _ in range(3):
@@ -64,7 +68,7 @@ def test_a_step_sums_the_gradients_of_all_tokens_of_a_row():
     r = np.random.default_rng(2)
     rows, target = r.integers(0, 9, (M.FEATURES, 40)), r.integers(0, M.CLASSES, 40)
     rows[1, :20] = rows[0, :20]  # a row shared by features, twice for one token
-    m = M.Learner(r.normal(size=M.CLASSES))
+    m = learner(r.normal(size=M.CLASSES))
     m.table[:9] = r.normal(size=(9, M.CLASSES))
     table, power = m.table.astype(np.float64), m.power.astype(np.float64)
     s = sum(table[x] for x in rows) + m.bias
@@ -77,7 +81,58 @@ def test_a_step_sums_the_gradients_of_all_tokens_of_a_row():
     m.learn(rows, target)
     assert np.allclose(m.power, power, rtol=1e-3)
     assert np.allclose(m.table, table - total * (M.RATE / np.sqrt(power))[:, None], atol=1e-4)
-    assert (m.used == np.bincount(rows.ravel(), minlength=M.ROWS)).all()
+    assert (m.used == np.bincount(rows.ravel(), minlength=M.LEAST_ROWS)).all()
+
+
+def test_word_probabilities_by_brute_force(spark, monkeypatch):
+    """Without a hashed table the whole score is counts: classes by the bias, words by unigrams, pairs and triples within a class."""
+    texts = corpus(120) + [None, "", "never seen before words", "x" * 5000]
+    monkeypatch.setattr(M, "train", lambda docs, own, bias: np.zeros((M.LEAST_ROWS, M.CLASSES), np.float32))
+    monkeypatch.setattr(M, "BLOCK_BYTES", 3000)
+    rows = {r.doc_id: r for r in M.score_texts(table(spark, texts).repartition(3)).collect()}
+    docs = [tokens(x) for x in texts]
+    learned = [t for i, t in enumerate(docs) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in learned for w in t)
+    t = M.Tokens(pa.array([" ".join(x for x in c if x), None]))
+    hashes = dict(zip([x for x in c if x] + [None], t.h.tolist()))
+    signed = lambda w: hashes[w] - (1 << 64) if hashes[w] >= 1 << 63 else hashes[w]
+    own = set(sorted(c, key=lambda w: (-c[w], signed(w)))[: M.OWN])
+    ending = lambda w: int(M.Tokens(pa.array([w])).ending[0]) if w else 0
+    cls = {w: ("own", w) if w in own else ("rest", ending(w)) for t in docs for w in t}
+    size, kinds = Counter(), Counter()
+    for w in c:
+        size[cls[w]] += c[w]
+        kinds[cls[w]] += 1
+    weight = {k: size[k] + 1 for k in {("own", w) for w in own} | {("rest", e) for e in range(M.ENDINGS)}}
+    grams = [Counter() for _ in range(4)]
+    history = lambda t, i: (t[i - 2] if i > 1 else "<s>", t[i - 1] if i else "<s>")
+    for t in learned:
+        for i, w in enumerate(t):
+            u, v = history(t, i)
+            for g, k in zip(grams, ((v, w), (v, cls[w]), (u, v, w), (u, v, cls[w]))):
+                g[k] += 1
+    for n, t in enumerate(docs):
+        total = 0.0
+        for i, w in enumerate(t):
+            u, v = history(t, i)
+            p = 1.0
+            if cls[w][0] == "rest":
+                p = (c[w] + 1) / (size[cls[w]] + kinds[cls[w]] + 1)
+                p = (grams[0][v, w] + M.PAIR * p) / (grams[1][v, cls[w]] + M.PAIR)
+                p = (grams[2][u, v, w] + M.TRIPLE * p) / (grams[3][u, v, cls[w]] + M.TRIPLE)
+            total += math.log10(p * weight[cls[w]] / sum(weight.values()))
+        assert math.isclose(rows[n].score, total, rel_tol=1e-4), n
+
+
+def test_table_grows_with_the_input_up_to_its_limit():
+    assert M.rows_for(0) == M.LEAST_ROWS and M.rows_for(1 << 60) == M.MOST_ROWS and M.rows_for(1 << 31) == 1 << 18
+    assert M.LEAST_ROWS < M.rows_for((1 << 30) - 1) < M.MOST_ROWS
+
+
+def test_parts_take_each_document_once(spark):
+    df = spark.range(500).withColumnRenamed("id", "_key")
+    parts = [{r[0] for r in df.where(M.in_part(a, b)).collect()} for a, b in zip(M.PARTS, M.PARTS[1:])]
+    assert sum(map(len, parts)) == 500 and len(set().union(*parts)) == 500 and all(parts)
 
 
 def test_totals_of_blocks_that_are_split(spark, tmp_path):

@@ -29,12 +29,23 @@ def ask(docs: DataFrame, of_block: Callable, column: str = "text", n_shards: int
             keys, counts, group = of_block(rows)
             edges = np.searchsorted(keys, (np.arange(1, n_shards, dtype=np.float64) * (2.0**64 / n_shards)).astype(np.uint64))
             edges = np.concatenate(([0], edges, [len(keys)]))
-            pack = lambda a: pa.array([a[edges[s] : edges[s + 1]].tobytes() for s in range(n_shards)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_shards)), pa.array(np.full(n_shards, block)), pack(keys), pack(counts.astype(np.int32)), pack(group.astype(np.uint8))], ["shard", "block", "keys", "counts", "groups"])
+            pack = lambda a, f: pa.array([f(a[edges[s] : edges[s + 1]]) for s in range(n_shards)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_shards)), pa.array(np.full(n_shards, block)), pack(keys, packed_keys), pack(counts, _packed), pack(group.astype(np.uint8), np.ndarray.tobytes)], ["shard", "block", "keys", "counts", "groups"])
 
     return docs.mapInArrow(run, "shard long, block long, keys binary, counts binary, groups binary")
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Rising keys as differences, byte plane by byte plane: the high planes are zeros, which the shuffle's compression takes out."""
+    step = np.diff(keys, prepend=np.zeros(1, np.uint64))
+    return step.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Counts in as few bytes as the largest of them needs; the first byte tells which."""
     top = int(values.max()) if len(values) else 0
@@ -49,14 +60,14 @@ def _unpacked(raw: bytes) -> np.ndarray:
 class Answers:
     """Totals by block, the most frequent keys, and the totals of each group."""
 
-    def __init__(self, docs: DataFrame, of_block: Callable, column: str = "text", top: int = 0, block_bytes: int = 16_000_000):
+    def __init__(self, docs: DataFrame, of_block: Callable, column: str = "text", top: int = 0, block_bytes: int = 16_000_000, shard_bytes: int = 16_000_000):
         spark = docs.sparkSession
         self.path, self.parts = fresh(spark, "totals"), max(1, min(100_000, input_bytes(docs) // PER_FOLDER))
         parts = self.parts
 
         def add(table: pa.Table) -> pa.Table:
-            keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-            counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+            keys = [unpacked_keys(x) for x in table.column("keys").to_pylist()]
+            counts = np.concatenate([_unpacked(x) for x in table.column("counts").to_pylist()])
             groups = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("groups").to_pylist()])
             every = np.concatenate(keys)
             order = np.argsort(every)
@@ -78,7 +89,7 @@ class Answers:
             kinds = [("kind", pa.int8()), ("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("data", pa.binary())]
             return pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], schema=pa.schema(kinds)) if rows else pa.schema(kinds).empty_table()
 
-        rows = ask(docs, of_block, column, shards(docs), block_bytes).groupBy("shard").applyInArrow(add, "kind byte, block long, a long, b long, c long, data binary")
+        rows = ask(docs, of_block, column, shards(docs, shard_bytes), block_bytes).groupBy("shard").applyInArrow(add, "kind byte, block long, a long, b long, c long, data binary")
         part = F.when(F.col("kind") == _ANSWER, F.pmod("block", F.lit(parts))).otherwise(F.lit(-1))
         rows.withColumn("part", part).repartition("part", "block").sortWithinPartitions("part", "block", "a").write.partitionBy("part").parquet(self.path)
         schema = "kind byte, block long, a long, b long, c long, data binary, part int"

@@ -1,15 +1,21 @@
 """10. LM scoring: a hashed maximum-entropy model over words.
 
-p(word | history) = p(class | history) * p(word | class). The class softmax has a bias and hashed features: the word before, the two
-words before (n-grams), and the second and third word before by themselves (skips). The most frequent words are classes of their own; the
-others fall into classes by their endings, and within one the softmax has the words' counts as its feature, add-one for words not met.
-Each task runs gradient steps over its own documents; the updates are averaged, feature by feature, weighted by use. The feature
-table has a fixed size, so what is broadcast does not grow; counts are exact for every word (see ``counts``).
+p(word | history) = p(class | history) * p(word | class, history), a softmax each. The class softmax has a bias and hashed features: the
+word before, the two words before (n-grams), and the second and third word before by themselves (skips). The most frequent words are
+classes of their own; the others fall into classes by their endings. Within a class the features are the word itself, the word with the
+one before, and the word with the two before, every such pair and triple of the corpus by an exact 64-bit key: log weights are set by
+their counts, log(1 + c(v, w) / (PAIR * p(w))), for which the softmax's normaliser is known, 1 + c(v, class) / PAIR, so nothing is
+summed over words. What the model gathers of words and contexts thus grows with the input; it lies in the shared folder and is asked for
+block by block (see ``counts``).
+
+The hashed table is trained by gradient steps, each task over its own documents. PARTS of the documents, each document in one, follow
+one another: after each the tasks' tables are averaged, row by row, weighted by use, and the next part's tasks go on from there. The
+table has a row for each ROW_BYTES of input, between LEAST_ROWS and MOST_ROWS; the latter is a memory limit: a worker holds 50 MB.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +24,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .counts import Answers, ranked
-from .shared import blocks, fresh, scan
+from .shared import blocks, fresh, input_bytes, scan
 from .text import Words, buffers, distinct, mix
 
 OWN, ENDINGS = 32, 16  # classes: frequent words, and endings of all others
 CLASSES = OWN + ENDINGS
-ROWS = 1 << 15
+LEAST_ROWS, MOST_ROWS, ROW_BYTES = 1 << 15, 1 << 18, 1 << 14
+SLICE, MERGED = 512, 64  # rows of the table that are averaged at a time; tasks' tables that one step of averaging adds up
 FEATURES = 4
 STEP, RATE = 512, 0.25
 SCORED = 4096
-SLICES = 64
+PARTS = (0, 1, 5, 16)  # bounds of the parts in sixteenths: the first are small, for a table to go on from
+PAIR, TRIPLE = 200.0, 2.0  # counts of a pair's or triple's context that weigh as much as what is known without it
+BLOCK_BYTES = 8_000_000  # text in a block whose words and contexts are asked for together
 _END = np.uint64(0x0123456789ABCDEF)  # the end token's hash and the key that no word has but by chance
 _START = np.uint64(0xFEDCBA9876543210)
 _TYPE = np.array([0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1) for k in range(FEATURES)], np.uint64)
@@ -50,19 +59,28 @@ class Tokens:
         self.ending = np.zeros(len(self.h), np.uint8)
         self.ending[~is_end] = mix(tail + np.uint64(99)) % np.uint64(ENDINGS)
 
-    def features(self) -> np.ndarray:
-        """(FEATURES, tokens) rows of the table."""
-        begins = np.zeros(len(self.h), bool)
-        begins[self.first[:-1]] = True
-        back, h = [], self.h
-        for k in (1, 2, 3):
-            b = np.concatenate([np.full(min(k, len(h)), _START), h[:-k] if k < len(h) else h[:0]])
-            for d in range(k):  # nothing is seen across a document's begin
-                at = self.first[:-1] + d
-                b[at[at < self.first[1:]]] = _START
-            back.append(b)
-        x = [back[0], mix(back[1]) + back[0], back[1], back[2]]
-        return np.stack([(mix(v ^ t) & np.uint64(ROWS - 1)).astype(np.int32) for v, t in zip(x, _TYPE)])
+    def back(self, k: int) -> np.ndarray:
+        """The token k before each; nothing is seen across a document's begin."""
+        h = self.h
+        b = np.concatenate([np.full(min(k, len(h)), _START), h[:-k] if k < len(h) else h[:0]])
+        for d in range(k):
+            at = self.first[:-1] + d
+            b[at[at < self.first[1:]]] = _START
+        return b
+
+    def features(self, rows: int) -> np.ndarray:
+        """(FEATURES, tokens) places in a table of so many rows, a power of two."""
+        one, two, three = (self.back(k) for k in (1, 2, 3))
+        x = [one, mix(two) + one, two, three]
+        return np.stack([(mix(v ^ t) & np.uint64(rows - 1)).astype(np.int32) for v, t in zip(x, _TYPE)])
+
+    def contexts(self, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens that share their class with other words, keys in four rows: pair, pair's class, triple, triple's class)."""
+        at = np.flatnonzero(cls >= OWN)
+        one, two, word, kind = self.back(1)[at], self.back(2)[at], self.h[at], cls[at].astype(np.uint64)
+        pair = mix(one + _TYPE[0])
+        triple = mix(mix(two + _TYPE[1]) + one)
+        return at, np.stack([mix(pair + word), mix(pair ^ mix(kind + _TYPE[2])), mix(triple + word), mix(triple ^ mix(kind + _TYPE[2]))])
 
     def classes(self, own: np.ndarray) -> np.ndarray:
         """Classes of the tokens; ``own`` are the sorted hashes of the words that are classes themselves."""
@@ -87,9 +105,9 @@ class Learner:
     A step takes STEP tokens and adds up the gradients of all that share a row, of whatever feature, so each row moves once a step.
     """
 
-    def __init__(self, bias: np.ndarray):
-        self.bias, self.table = bias.astype(np.float32), np.zeros((ROWS, CLASSES), np.float32)
-        self.power, self.used = np.full(ROWS, 1e-3, np.float32), np.zeros(ROWS, np.float32)
+    def __init__(self, bias: np.ndarray, table: np.ndarray, power: np.ndarray):
+        self.bias, self.table, self.power = bias.astype(np.float32), table.copy(), power.copy()
+        self.used = np.zeros(len(table), np.float32)
 
     def learn(self, rows: np.ndarray, target: np.ndarray) -> None:
         for a in range(0, len(target), STEP):
@@ -110,7 +128,7 @@ class Learner:
             total *= (RATE / np.sqrt(self.power[at]))[:, None]
             self.table[at] -= total
         for x in rows:
-            self.used += np.bincount(x, minlength=ROWS).astype(np.float32)
+            self.used += np.bincount(x, minlength=len(self.used)).astype(np.float32)
 
 
 def learned() -> F.Column:
@@ -118,42 +136,82 @@ def learned() -> F.Column:
     return F.crc32(F.col("_key").cast("string").cast("binary")) % 7 != 2
 
 
+def rows_for(size: int) -> int:
+    """Rows of the table for an input of ``size`` bytes."""
+    return min(MOST_ROWS, max(LEAST_ROWS, 1 << (size // ROW_BYTES).bit_length()))
+
+
+def in_part(low: int, high: int) -> F.Column:
+    return F.pmod(F.xxhash64("_key", F.lit(10)), F.lit(PARTS[-1])).between(low, high - 1)
+
+
 def train(docs: DataFrame, own: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """The table averaged over the tasks' own, and read back from the shared folder."""
-    spark = docs.sparkSession
+    """The table after all parts. It is a sum of every token's gradients; what a task sends is one row for each SLICE of the table, and
+    those are averaged MERGED tasks at a time, then all. A task has at least the text that its table's bytes are a small part of."""
+    size = input_bytes(docs)
+    rows = rows_for(size)
+    docs = docs.where("learned").coalesce(max(8, int(size / (2.5 * rows * CLASSES * 4))))
+    table, power = np.zeros((rows, CLASSES), np.float32), np.full(rows, 1e-3, np.float32)
+    for low, high in zip(PARTS, PARTS[1:]):
+        table, power = _trained(docs.where(in_part(low, high)), own, bias, table, power)
+    return table
+
+
+def _trained(docs: DataFrame, own: np.ndarray, bias: np.ndarray, table: np.ndarray, power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One part's steps from ``table``, and the tasks' tables averaged: a row that no task used stays as it was."""
+    from pyspark import TaskContext
+
+    spark, n_slices = docs.sparkSession, len(table) // SLICE
+    before = spark.sparkContext.broadcast((table, power))  # MOST_ROWS rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, some = Learner(bias), False
+        m = None
         for _, part in blocks(batches, "text", 4_000_000):
-            part = part.filter(pa.compute.fill_null(part.column("learned"), False))
-            if part.num_rows:
-                t, some = Tokens(part.column("text")), True
-                m.learn(t.features(), t.classes(own))
-        if some:
-            size = ROWS // SLICES
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([m.table[k * size : (k + 1) * size].tobytes() for k in range(SLICES)], pa.binary()), pa.array([m.used[k * size : (k + 1) * size].tobytes() for k in range(SLICES)], pa.binary())], ["slice", "weights", "used"])
-
-    def average(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, used = np.zeros((ROWS // SLICES, CLASSES)), np.zeros(ROWS // SLICES)
-        for part in parts:  # one task's update at a time
-            for w, u in zip(part.column("weights"), part.column("used")):
-                n = np.frombuffer(u.as_buffer(), np.float32)
-                total += n[:, None] * np.frombuffer(w.as_buffer(), np.float32).reshape(-1, CLASSES)
-                used += n
-        table = (total / np.maximum(used, 1)[:, None]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([table.tobytes()], pa.binary())], ["slice", "weights"])
-
-    path = fresh(spark, "maxent")
-    docs.mapInArrow(run, "slice long, weights binary, used binary").groupBy("slice").applyInArrow(average, "slice long, weights binary").write.parquet(path)
-    rows = spark.read.schema("slice long, weights binary").parquet(path).orderBy("slice").collect()  # ROWS * CLASSES floats whatever the input
-    return np.concatenate([np.frombuffer(r["weights"], np.float32) for r in rows]).reshape(ROWS, CLASSES) if rows else np.zeros((ROWS, CLASSES), np.float32)
+            t = Tokens(part.column("text"))
+            m = m or Learner(bias, *before.value)
+            m.learn(t.features(len(m.table)), t.classes(own))
+        if m:
+            cut = [slice(k * SLICE, (k + 1) * SLICE) for k in range(n_slices)]
+            group = np.full(n_slices, TaskContext.get().partitionId() // MERGED)
+            half = m.table.astype(np.float16)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_slices)), pa.array(group), *(pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (half, m.power, m.used))], ["slice", "tasks", "weights", "power", "used"])
+
+    def averaged(kind: type) -> Callable:
+        def average(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, strength, used = np.zeros((SLICE, CLASSES)), np.zeros(SLICE), np.zeros(SLICE)
+            for part in parts:  # one task's update at a time
+                for w, p, u in zip(*(part.column(c) for c in ("weights", "power", "used"))):
+                    n = np.frombuffer(u.as_buffer(), np.float32)
+                    total += n[:, None] * np.frombuffer(w.as_buffer(), kind).reshape(-1, CLASSES)
+                    strength += n * np.frombuffer(p.as_buffer(), np.float32)
+                    used += n
+            some = np.maximum(used, 1)
+            out = (total / some[:, None], strength / some, used)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in out)], ["slice", "weights", "power", "used"])
+
+        return average
+
+    kinds, path = "slice long, weights binary, power binary, used binary", fresh(spark, "maxent")
+    some = docs.mapInArrow(run, f"slice long, tasks long, {kinds[12:]}").groupBy("slice", "tasks").applyInArrow(averaged(np.float16), kinds)
+    some.groupBy("slice").applyInArrow(averaged(np.float32), kinds).write.parquet(path)
+    table, power = table.copy(), power.copy()
+    for r in spark.read.schema(kinds).parquet(path).collect():  # the table, MOST_ROWS rows at most
+        used = np.flatnonzero(np.frombuffer(r["used"], np.float32))
+        at = r["slice"] * SLICE + used
+        table[at] = np.frombuffer(r["weights"], np.float32).reshape(-1, CLASSES)[used]
+        power[at] = np.frombuffer(r["power"], np.float32)[used]
+    before.unpersist()
+    return table, power
 
 
 def score_texts(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each whole text, learning from all that aren't held out.
 
     A null or empty text is its end alone. Repeated rows are scored and learned from each. A row without a key has a null held_out
-    and is not learned from. Three passes over the texts and no shuffle of them: counts, gradient steps, scores.
+    and is not learned from. A text of any length is scored whole, its document in one block of its own where it is long; ties do not
+    occur. Other columns of ``df`` are not looked at. Passes over the texts, none of which shuffles them: counts of words, of contexts,
+    gradient steps (each part reads its own documents), scores. Which documents a task learns from follows the file splits, so the
+    last digits of ``score`` depend on how the table is stored.
     """
     docs = scan(df.select(F.col(key).cast("long").alias("_key"), F.col(column).alias("text")), ["_key", "text"]).withColumn("learned", learned())
 
@@ -165,7 +223,7 @@ def score_texts(df: DataFrame, column: str = "text", key: str = "doc_id") -> Dat
         group[at] = t.ending
         return keys, np.bincount(at[yes], minlength=len(keys)), group
 
-    answers = Answers(docs, of_block, top=OWN)
+    answers = Answers(docs, of_block, top=OWN, block_bytes=BLOCK_BYTES)
     n, v = (sum(g[k] for g in answers.groups.values()) for k in (0, 1))
     top = sorted((np.uint64(k & (2**64 - 1)), c, g) for k, c, g in answers.top)
     own = np.array([k for k, _, _ in top], np.uint64)
@@ -180,13 +238,32 @@ def score_texts(df: DataFrame, column: str = "text", key: str = "doc_id") -> Dat
     real[len(own) : OWN] = False  # fewer words than classes: the rest is never drawn
     bias = np.where(real, np.log(size + 1), -50.0).astype(np.float32)
     table = train(docs, own, bias)
+
+    def context_counts(rows: pa.Table):
+        t = Tokens(rows.column("text"))
+        tokens, keys = t.contexts(t.classes(own))
+        yes = np.repeat([bool(x) for x in rows.column("learned").to_pylist()], np.diff(t.first))[tokens]
+        keys, at = ranked(keys.ravel())
+        return keys, np.bincount(at[np.tile(yes, 4)], minlength=len(keys)), np.zeros(len(keys), np.uint8)
+
+    context = Answers(docs, context_counts, block_bytes=BLOCK_BYTES, shard_bytes=BLOCK_BYTES).reader()
     shared = df.sparkSession.sparkContext.broadcast((table, own, bias, size + kinds + 1))
     read = answers.reader()
     base_total = float(n + v + 1)
 
+    def within(block: int, t: Tokens, cls: np.ndarray, p: np.ndarray) -> None:
+        """Multiplies the features of pairs and triples into ``p``, the probabilities of words within their classes."""
+        tokens, keys = t.contexts(cls)
+        keys, at = ranked(keys.ravel())
+        count = context(block)
+        if len(count) != len(keys):
+            raise RuntimeError("a block changed between two passes")
+        pair, pairs, triple, triples = count[at].reshape(4, -1)
+        p[tokens] = (triple + TRIPLE * (pair + PAIR * p[tokens]) / (pairs + PAIR)) / (triples + TRIPLE)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, own_, bias_, room = shared.value
-        for block, rows in blocks(batches, "text"):
+        for block, rows in blocks(batches, "text", BLOCK_BYTES):
             t = Tokens(rows.column("text"))
             keys, at = ranked(t.h)
             count = read(block)
@@ -194,8 +271,10 @@ def score_texts(df: DataFrame, column: str = "text", key: str = "doc_id") -> Dat
                 raise RuntimeError("a block changed between two passes")
             c = count[at]
             cls = t.classes(own_)
-            feats = t.features()
-            p = np.where(cls < OWN, 0.0, np.log10((c + 1) / room[cls]))
+            feats = t.features(len(weights))
+            p = np.where(cls < OWN, 1.0, (c + 1) / room[cls])
+            within(block, t, cls, p)
+            p = np.log10(p)
             for a in range(0, len(cls), SCORED):
                 s = log_softmax(weights, bias_, feats[:, a : a + SCORED])
                 p[a : a + SCORED] += s[np.arange(len(s)), cls[a : a + SCORED]] / np.log(10)

@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from .text import buffers, slices
 
 BLOCK_BYTES = 16_000_000
+_MADE: dict[str, list[str]] = {}  # paths by application
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder's URI."""
+    """The shared folder's URI. A session that names none gets a temporary one if its master is this machine alone, else an error."""
     uri = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not uri:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         uri = "file://" + tempfile.mkdtemp(prefix="vellumist-")
         spark.conf.set("spark.checkpoint.dir", uri)
     return uri.rstrip("/")
@@ -32,7 +35,9 @@ def folder(spark: SparkSession) -> str:
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -58,10 +63,7 @@ def filesystem(uri: str):
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files below ``df``, as the optimizer states them; sizes partitions, never data."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-    except Exception:  # noqa: BLE001 - statistics are a hint only
-        return 1 << 60
+    return min(1 << 60, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
 
 
 def shards(df: DataFrame, per_shard: int = 16_000_000, least: int = 12) -> int:
@@ -73,6 +75,13 @@ def shards(df: DataFrame, per_shard: int = 16_000_000, least: int = 12) -> int:
     return int(min(100_000, max(least, size // per_shard)))
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this session; their results must have been written elsewhere by then."""
+    while made := _MADE.pop(spark.sparkContext.applicationId, None):
+        for path in made:
+            remove(spark, path)
+
+
 def scan(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of docs with _file and _start, which name the file split that each row is read from.
 
