@@ -85,7 +85,7 @@ def test_a_step_sums_the_gradients_of_all_tokens_of_a_row():
 
 
 def test_word_probabilities_by_brute_force(spark, monkeypatch):
-    """Without a hashed table the whole score is counts: classes by the bias, words by unigrams, pairs and triples within a class."""
+    """Without a hashed table the whole score is counts: classes by the bias, words in them, pairs and triples."""
     texts = corpus(120) + [None, "", "never seen before words", "x" * 5000]
     monkeypatch.setattr(M, "train", lambda docs, own, bias: np.zeros((M.LEAST_ROWS, M.CLASSES), np.float32))
     monkeypatch.setattr(M, "BLOCK_BYTES", 3000)
@@ -105,22 +105,23 @@ def test_word_probabilities_by_brute_force(spark, monkeypatch):
         kinds[cls[w]] += 1
     weight = {k: size[k] + 1 for k in {("own", w) for w in own} | {("rest", e) for e in range(M.ENDINGS)}}
     grams = [Counter() for _ in range(4)]
+    every = sum(weight.values())
     history = lambda t, i: (t[i - 2] if i > 1 else "<s>", t[i - 1] if i else "<s>")
     for t in learned:
         for i, w in enumerate(t):
             u, v = history(t, i)
-            for g, k in zip(grams, ((v, w), (v, cls[w]), (u, v, w), (u, v, cls[w]))):
+            for g, k in zip(grams, ((v, w), v, (u, v, w), (u, v))):
                 g[k] += 1
     for n, t in enumerate(docs):
         total = 0.0
         for i, w in enumerate(t):
             u, v = history(t, i)
-            p = 1.0
+            p = weight[cls[w]] / every
             if cls[w][0] == "rest":
-                p = (c[w] + 1) / (size[cls[w]] + kinds[cls[w]] + 1)
-                p = (grams[0][v, w] + M.PAIR * p) / (grams[1][v, cls[w]] + M.PAIR)
-                p = (grams[2][u, v, w] + M.TRIPLE * p) / (grams[3][u, v, cls[w]] + M.TRIPLE)
-            total += math.log10(p * weight[cls[w]] / sum(weight.values()))
+                p *= (c[w] + 1) / (size[cls[w]] + kinds[cls[w]] + 1)
+            p = (grams[0][v, w] + M.PAIR * p) / (grams[1][v] + M.PAIR)
+            p = (grams[2][u, v, w] + M.TRIPLE * p) / (grams[3][u, v] + M.TRIPLE)
+            total += math.log10(p)
         assert math.isclose(rows[n].score, total, rel_tol=1e-4), n
 
 

@@ -60,7 +60,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 class Answers:
     """Totals by block, the most frequent keys, and the totals of each group."""
 
-    def __init__(self, docs: DataFrame, of_block: Callable, column: str = "text", top: int = 0, block_bytes: int = 16_000_000, shard_bytes: int = 16_000_000):
+    def __init__(self, docs: DataFrame, of_block: Callable, column: str = "text", top: int = 0, block_bytes: int = 16_000_000, shard_bytes: int = 16_000_000, top_below: int = 256):
         spark = docs.sparkSession
         self.path, self.parts = fresh(spark, "totals"), max(1, min(100_000, input_bytes(docs) // PER_FOLDER))
         parts = self.parts
@@ -82,7 +82,8 @@ class Answers:
             seen = total > 0
             group, key, total = groups[one][seen], every[one][seen], total[seen]
             if top and len(total):
-                best = np.argsort(-total, kind="stable")[:top]
+                able = np.flatnonzero(group < top_below)
+                best = able[np.argsort(-total[able], kind="stable")[:top]]
                 rows += [(_TOP, 0, k, n, g, None) for k, n, g in zip(key[best].view(np.int64).tolist(), total[best].tolist(), group[best].tolist())]
             n, v = np.bincount(group, total, 256), np.bincount(group, minlength=256)
             rows += [(_GROUP, 0, g, int(n[g]), int(v[g]), None) for g in np.flatnonzero(v).tolist()]
@@ -94,7 +95,7 @@ class Answers:
         rows.withColumn("part", part).repartition("part", "block").sortWithinPartitions("part", "block", "a").write.partitionBy("part").parquet(self.path)
         schema = "kind byte, block long, a long, b long, c long, data binary, part int"
         rest = spark.read.schema(schema).parquet(self.path).where("part = -1")
-        #: (key, total, group) of the most frequent keys; ties by key
+        #: (key, total, group) of the most frequent keys whose group is less than top_below; ties by key
         self.top = [tuple(r) for r in rest.where(f"kind = {_TOP}").orderBy(F.desc("b"), "a").limit(max(1, top)).select("a", "b", "c").collect()] if top else []
         #: group -> (sum of counts, keys with a count)
         self.groups = {r[0]: (r[1], r[2]) for r in rest.where(f"kind = {_GROUP}").groupBy("a").agg(F.sum("b"), F.sum("c")).collect()}

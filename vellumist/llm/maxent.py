@@ -1,12 +1,12 @@
 """10. LM scoring: a hashed maximum-entropy model over words.
 
-p(word | history) = p(class | history) * p(word | class, history), a softmax each. The class softmax has a bias and hashed features: the
-word before, the two words before (n-grams), and the second and third word before by themselves (skips). The most frequent words are
-classes of their own; the others fall into classes by their endings. Within a class the features are the word itself, the word with the
-one before, and the word with the two before, every such pair and triple of the corpus by an exact 64-bit key: log weights are set by
-their counts, log(1 + c(v, w) / (PAIR * p(w))), for which the softmax's normaliser is known, 1 + c(v, class) / PAIR, so nothing is
-summed over words. What the model gathers of words and contexts thus grows with the input; it lies in the shared folder and is asked for
-block by block (see ``counts``).
+Its softmax is factored by classes: a class is drawn by a bias and hashed features of the history, the word before, the two words before
+(n-grams), and the second and third word before by themselves (skips); the most frequent words are classes of their own, and the others
+fall into classes by their endings, within which the feature is the word itself by its count, add-one for words not met. On this
+distribution m lie exact features of words: every pair (v, w) and triple (u, v, w) of the corpus by a 64-bit key. Their log weights are
+set by counts, log(1 + c(v, w) / (PAIR * m(w))), since the normaliser is then known without a sum over words, 1 + c(v) / PAIR; the
+triple's weight is formed in the same way on what the pair gives. What the model gathers of words, pairs and triples grows with the
+input; it lies in the shared folder and is asked for block by block (see ``counts``).
 
 The hashed table is trained by gradient steps, each task over its own documents. PARTS of the documents, each document in one, follow
 one another: after each the tasks' tables are averaged, row by row, weighted by use, and the next part's tasks go on from there. The
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .counts import Answers, ranked
+from .memo import places
 from .shared import blocks, fresh, input_bytes, scan
 from .text import Words, buffers, distinct, mix
 
@@ -32,10 +33,11 @@ CLASSES = OWN + ENDINGS
 LEAST_ROWS, MOST_ROWS, ROW_BYTES = 1 << 15, 1 << 18, 1 << 14
 SLICE, MERGED = 512, 64  # rows of the table that are averaged at a time; tasks' tables that one step of averaging adds up
 FEATURES = 4
-STEP, RATE = 512, 0.25
+STEP, RATE = 1024, 0.35
 SCORED = 4096
 PARTS = (0, 1, 5, 16)  # bounds of the parts in sixteenths: the first are small, for a table to go on from
-PAIR, TRIPLE = 200.0, 2.0  # counts of a pair's or triple's context that weigh as much as what is known without it
+PAIR, TRIPLE = 200.0, 2.0  # so many tokens of a context weigh as much as what is known without it
+_CONTEXT = 255  # the group of pairs' and triples' keys; words have their ending
 BLOCK_BYTES = 8_000_000  # text in a block whose words and contexts are asked for together
 _END = np.uint64(0x0123456789ABCDEF)  # the end token's hash and the key that no word has but by chance
 _START = np.uint64(0xFEDCBA9876543210)
@@ -74,13 +76,14 @@ class Tokens:
         x = [one, mix(two) + one, two, three]
         return np.stack([(mix(v ^ t) & np.uint64(rows - 1)).astype(np.int32) for v, t in zip(x, _TYPE)])
 
-    def contexts(self, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens that share their class with other words, keys in four rows: pair, pair's class, triple, triple's class)."""
-        at = np.flatnonzero(cls >= OWN)
-        one, two, word, kind = self.back(1)[at], self.back(2)[at], self.h[at], cls[at].astype(np.uint64)
-        pair = mix(one + _TYPE[0])
-        triple = mix(mix(two + _TYPE[1]) + one)
-        return at, np.stack([mix(pair + word), mix(pair ^ mix(kind + _TYPE[2])), mix(triple + word), mix(triple ^ mix(kind + _TYPE[2]))])
+    def contexts(self) -> np.ndarray:
+        """Keys of each token's pair and triple, in two rows."""
+        one, two = self.back(1), self.back(2)
+        return np.stack([mix(mix(one + _TYPE[0]) + self.h), mix(mix(mix(two + _TYPE[1]) + one) + self.h)])
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct keys of words, pairs and triples, rising; the places of each token's word, pair and triple among them)."""
+        return ranked(np.concatenate([self.h, self.contexts().ravel()]))
 
     def classes(self, own: np.ndarray) -> np.ndarray:
         """Classes of the tokens; ``own`` are the sorted hashes of the words that are classes themselves."""
@@ -89,13 +92,17 @@ class Tokens:
         return np.where(mine, at, OWN + self.ending.astype(np.int64))
 
 
-def log_softmax(table: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    s = table[rows[0]]
+def _logits(table: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    s = np.take(table, rows[0], 0)
     for r in rows[1:]:
-        s += table[r]
+        s += np.take(table, r, 0)
     s += bias
-    s -= s.max(1, keepdims=True)
-    s -= np.log(np.exp(s).sum(1, keepdims=True))
+    return np.minimum(s, 80, s)  # its exponential stays finite
+
+
+def log_softmax(table: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    s = _logits(table, bias, rows)
+    s -= np.log(np.exp(s) @ np.ones(CLASSES, np.float32))[:, None]
     return s
 
 
@@ -110,26 +117,32 @@ class Learner:
         self.used = np.zeros(len(table), np.float32)
 
     def learn(self, rows: np.ndarray, target: np.ndarray) -> None:
+        ones = np.ones(CLASSES, np.float32)
         for a in range(0, len(target), STEP):
             r, t = rows[:, a : a + STEP], target[a : a + STEP]
-            g = self.table[r[0]]
-            for x in r[1:]:
-                g += self.table[x]
-            g += self.bias
-            g -= g.max(1, keepdims=True)
+            g = _logits(self.table, self.bias, r)
             np.exp(g, g)
-            g /= g.sum(1, keepdims=True)
+            g /= (g @ ones)[:, None]
             g[np.arange(len(t)), t] -= 1
             every = r.ravel()
             order = np.argsort(every, kind="stable")
-            heads = distinct(every[order])
-            at, total = every[order[heads]], np.add.reduceat(g[order % len(t)], heads)
-            self.power[at] += np.einsum("ij,ij->i", total, total)
-            total *= (RATE / np.sqrt(self.power[at]))[:, None]
-            self.table[at] -= total
+            every, token = every[order], order % len(t)
+            heads = distinct(every)
+            size = np.diff(np.append(heads, len(every)))
+            once = size == 1
+            self._move(every[heads[once]], np.take(g, token[heads[once]], 0))
+            again = heads[~once]
+            if len(again):
+                size = size[~once]
+                self._move(every[again], np.add.reduceat(np.take(g, token[places(again, size)], 0), np.cumsum(size) - size))
         for x in rows:
             self.used += np.bincount(x, minlength=len(self.used)).astype(np.float32)
 
+    def _move(self, at: np.ndarray, gradient: np.ndarray) -> None:
+        self.power[at] += np.einsum("ij,ij->i", gradient, gradient)
+        gradient *= (RATE / np.sqrt(self.power[at]))[:, None]
+        self.table[at] -= gradient
+
 
 def learned() -> F.Column:
     """Whether a document is learned from; null where it has no id, and then it isn't."""
@@ -204,12 +217,21 @@ def _trained(docs: DataFrame, own: np.ndarray, bias: np.ndarray, table: np.ndarr
     return table, power
 
 
+def with_contexts(m: np.ndarray, c: np.ndarray, pair: np.ndarray, triple: np.ndarray, begins: np.ndarray, starts: int) -> np.ndarray:
+    """Probabilities of tokens from those without pairs and triples, and the counts of each token's word, pair and triple. A context's
+    count is that of the token or pair before; a document's begin was met ``starts`` times."""
+    before, before_two = (np.concatenate([x[:1], x[:-1]]) for x in (c, pair))
+    before[begins] = before_two[begins] = starts
+    p = (pair + PAIR * m) / (before + PAIR)
+    return (triple + TRIPLE * p) / (before_two + TRIPLE)
+
+
 def score_texts(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each whole text, learning from all that aren't held out.
 
     A null or empty text is its end alone. Repeated rows are scored and learned from each. A row without a key has a null held_out
     and is not learned from. A text of any length is scored whole, its document in one block of its own where it is long; ties do not
-    occur. Other columns of ``df`` are not looked at. Passes over the texts, none of which shuffles them: counts of words, of contexts,
+    occur. Other columns of ``df`` are not looked at. Passes over the texts, none of which shuffles them: counts,
     gradient steps (each part reads its own documents), scores. Which documents a task learns from follows the file splits, so the
     last digits of ``score`` depend on how the table is stored.
     """
@@ -217,13 +239,14 @@ def score_texts(df: DataFrame, column: str = "text", key: str = "doc_id") -> Dat
 
     def of_block(rows: pa.Table):
         t = Tokens(rows.column("text"))
-        keys, at = ranked(t.h)
+        keys, at = t.keys()
         yes = np.repeat([bool(x) for x in rows.column("learned").to_pylist()], np.diff(t.first))
-        group = np.zeros(len(keys), np.uint8)
-        group[at] = t.ending
-        return keys, np.bincount(at[yes], minlength=len(keys)), group
+        group = np.full(len(keys), _CONTEXT, np.uint8)
+        group[at[: len(t.h)]] = t.ending
+        return keys, np.bincount(at[np.tile(yes, 3)], minlength=len(keys)), group
 
-    answers = Answers(docs, of_block, top=OWN, block_bytes=BLOCK_BYTES)
+    answers = Answers(docs, of_block, top=OWN, block_bytes=BLOCK_BYTES, shard_bytes=BLOCK_BYTES // 2, top_below=_CONTEXT)
+    answers.groups.pop(_CONTEXT, None)
     n, v = (sum(g[k] for g in answers.groups.values()) for k in (0, 1))
     top = sorted((np.uint64(k & (2**64 - 1)), c, g) for k, c, g in answers.top)
     own = np.array([k for k, _, _ in top], np.uint64)
@@ -239,46 +262,28 @@ def score_texts(df: DataFrame, column: str = "text", key: str = "doc_id") -> Dat
     bias = np.where(real, np.log(size + 1), -50.0).astype(np.float32)
     table = train(docs, own, bias)
 
-    def context_counts(rows: pa.Table):
-        t = Tokens(rows.column("text"))
-        tokens, keys = t.contexts(t.classes(own))
-        yes = np.repeat([bool(x) for x in rows.column("learned").to_pylist()], np.diff(t.first))[tokens]
-        keys, at = ranked(keys.ravel())
-        return keys, np.bincount(at[np.tile(yes, 4)], minlength=len(keys)), np.zeros(len(keys), np.uint8)
-
-    context = Answers(docs, context_counts, block_bytes=BLOCK_BYTES, shard_bytes=BLOCK_BYTES).reader()
     shared = df.sparkSession.sparkContext.broadcast((table, own, bias, size + kinds + 1))
     read = answers.reader()
     base_total = float(n + v + 1)
-
-    def within(block: int, t: Tokens, cls: np.ndarray, p: np.ndarray) -> None:
-        """Multiplies the features of pairs and triples into ``p``, the probabilities of words within their classes."""
-        tokens, keys = t.contexts(cls)
-        keys, at = ranked(keys.ravel())
-        count = context(block)
-        if len(count) != len(keys):
-            raise RuntimeError("a block changed between two passes")
-        pair, pairs, triple, triples = count[at].reshape(4, -1)
-        p[tokens] = (triple + TRIPLE * (pair + PAIR * p[tokens]) / (pairs + PAIR)) / (triples + TRIPLE)
+    starts = docs.where("learned").count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, own_, bias_, room = shared.value
         for block, rows in blocks(batches, "text", BLOCK_BYTES):
             t = Tokens(rows.column("text"))
-            keys, at = ranked(t.h)
+            keys, at = t.keys()
             count = read(block)
             if len(count) != len(keys):
                 raise RuntimeError("a block changed between two passes")
-            c = count[at]
+            c, pair, triple = count[at].reshape(3, -1)
             cls = t.classes(own_)
             feats = t.features(len(weights))
-            p = np.where(cls < OWN, 1.0, (c + 1) / room[cls])
-            within(block, t, cls, p)
-            p = np.log10(p)
+            p = np.where(cls < OWN, 0.0, np.log((c + 1) / room[cls]))
             for a in range(0, len(cls), SCORED):
                 s = log_softmax(weights, bias_, feats[:, a : a + SCORED])
-                p[a : a + SCORED] += s[np.arange(len(s)), cls[a : a + SCORED]] / np.log(10)
-            sums = [np.add.reduceat(x, t.first[:-1]) for x in (np.log10((c + 1) / base_total), p, (c > 0).astype(np.int64))]
+                p[a : a + SCORED] += s[np.arange(len(s)), cls[a : a + SCORED]]
+            p = with_contexts(np.exp(p), c, pair, triple, t.first[:-1], starts)
+            sums = [np.add.reduceat(x, t.first[:-1]) for x in (np.log10((c + 1) / base_total), np.log10(p), (c > 0).astype(np.int64))]
             held = pa.compute.invert(rows.column("learned"))
             many = rows.num_rows
             yield pa.RecordBatch.from_arrays([rows.column("_key").combine_chunks(), held.combine_chunks(), pa.array(np.diff(t.first)), pa.array(sums[2]), pa.array(np.full(many, n, np.int64)), pa.array(sums[0]), pa.array(sums[1])], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
