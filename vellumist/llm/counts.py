@@ -30,31 +30,40 @@ def ask(docs: DataFrame, of_block: Callable, column: str = "text", n_shards: int
             edges = np.searchsorted(keys, (np.arange(1, n_shards, dtype=np.float64) * (2.0**64 / n_shards)).astype(np.uint64))
             edges = np.concatenate(([0], edges, [len(keys)]))
             pack = lambda a, f: pa.array([f(a[edges[s] : edges[s + 1]]) for s in range(n_shards)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_shards)), pa.array(np.full(n_shards, block)), pack(keys, packed_keys), pack(counts, _packed), pack(group.astype(np.uint8), np.ndarray.tobytes)], ["shard", "block", "keys", "counts", "groups"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_shards)), pa.array(np.full(n_shards, block)), pack(keys, packed_keys), pack(counts, packed), pack(group, packed)], ["shard", "block", "keys", "counts", "groups"])
 
     return docs.mapInArrow(run, "shard long, block long, keys binary, counts binary, groups binary")
 
 
+def squeezed(raw: bytes) -> bytes:
+    """Compressed, behind its length in eight bytes: whether the shuffle compresses is not for this to rely on."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Rising keys as differences, byte plane by byte plane: the high planes are zeros, which the shuffle's compression takes out."""
+    """Rising keys as differences, byte plane by byte plane: the high planes are nearly all zeros."""
     step = np.diff(keys, prepend=np.zeros(1, np.uint64))
-    return step.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return squeezed(step.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def unpacked_keys(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+def unpacked_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueezed(data), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _packed(values: np.ndarray) -> bytes:
+def packed(values: np.ndarray) -> bytes:
     """Counts in as few bytes as the largest of them needs; the first byte tells which."""
     top = int(values.max()) if len(values) else 0
     kind = next(k for k in "BHIq" if top <= np.iinfo(k).max)
-    return kind.encode() + values.astype(kind).tobytes()
+    return kind.encode() + squeezed(values.astype(kind).tobytes())
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, chr(raw[0]), offset=1).astype(np.int64)
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(unsqueezed(raw[1:]), chr(raw[0])).astype(np.int64)
 
 
 class Answers:
@@ -67,8 +76,8 @@ class Answers:
 
         def add(table: pa.Table) -> pa.Table:
             keys = [unpacked_keys(x) for x in table.column("keys").to_pylist()]
-            counts = np.concatenate([_unpacked(x) for x in table.column("counts").to_pylist()])
-            groups = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("groups").to_pylist()])
+            counts = np.concatenate([unpacked(x) for x in table.column("counts").to_pylist()])
+            groups = np.concatenate([unpacked(x).astype(np.uint8) for x in table.column("groups").to_pylist()])
             every = np.concatenate(keys)
             order = np.argsort(every)
             in_order = every[order]
@@ -76,7 +85,7 @@ class Answers:
             total = np.add.reduceat(counts[order], heads) if len(heads) else np.zeros(0, np.int64)
             answers, at = np.empty(len(every), np.int64), np.cumsum([0, *map(len, keys)])
             answers[order] = np.repeat(total, np.diff(np.append(heads, len(every))))
-            data = [_packed(answers[a:b]) for a, b in zip(at, at[1:])]
+            data = [packed(answers[a:b]) for a, b in zip(at, at[1:])]
             rows = [(_ANSWER, block, shard, 0, 0, x) for block, shard, x in zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), data)]
             one = order[heads]
             seen = total > 0
@@ -109,7 +118,7 @@ class Answers:
 
             fs, base = filesystem(f"{path}/part={block % parts}")
             t = ds.dataset(base, filesystem=fs, format="parquet").to_table(columns=["a", "data"], filter=ds.field("block") == block).sort_by("a")
-            got = [_unpacked(x) for x in t.column("data").to_pylist()]
+            got = [unpacked(x) for x in t.column("data").to_pylist()]
             return np.concatenate(got) if got else np.zeros(0, np.int64)
 
         return read
