@@ -99,7 +99,8 @@ class Answers:
             kinds = [("kind", pa.int8()), ("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("data", pa.binary())]
             return pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], schema=pa.schema(kinds)) if rows else pa.schema(kinds).empty_table()
 
-        rows = ask(docs, of_block, column, shards(docs, shard_bytes), block_bytes).groupBy("shard").applyInArrow(add, "kind byte, block long, a long, b long, c long, data binary")
+        n_shards = shards(docs, shard_bytes)
+        rows = ask(docs, of_block, column, n_shards, block_bytes).repartition(n_shards, "shard").groupBy("shard").applyInArrow(add, "kind byte, block long, a long, b long, c long, data binary")
         part = F.when(F.col("kind") == _ANSWER, F.pmod("block", F.lit(parts))).otherwise(F.lit(-1))
         rows.withColumn("part", part).repartition("part", "block").sortWithinPartitions("part", "block", "a").write.partitionBy("part").parquet(self.path)
         schema = "kind byte, block long, a long, b long, c long, data binary, part int"

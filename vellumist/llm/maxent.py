@@ -163,10 +163,11 @@ def train(docs: DataFrame, own: np.ndarray, bias: np.ndarray) -> np.ndarray:
     those are averaged MERGED tasks at a time, then all. A task has at least the text that its table's bytes are a small part of."""
     size = input_bytes(docs)
     rows = rows_for(size)
-    docs = docs.where("learned").coalesce(max(8, int(size / (2.5 * rows * CLASSES * 4))))
+    docs, tasks = docs.where("learned"), size / (2.5 * rows * CLASSES * 4)
     table, power = np.zeros((rows, CLASSES), np.float32), np.full(rows, 1e-3, np.float32)
     for low, high in zip(PARTS, PARTS[1:]):
-        table, power = _trained(docs.where(in_part(low, high)), own, bias, table, power)
+        some = docs.where(in_part(low, high)).coalesce(max(8, int(tasks * (high - low) / PARTS[-1])))
+        table, power = _trained(some, own, bias, table, power)
     return table
 
 
