@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cases import TEXTS, empty, table
@@ -46,26 +48,38 @@ def test_equals_brute_force(spark, k, tmp_path):
         assert all(math.isclose(s, w, abs_tol=2e-6) for (_, _, s), (_, w) in zip(sorted(rows), want[q]))
 
 
-def test_pruning_leaves_blocks_out():
-    import numpy as np
-    import pyarrow as pa
+def shard_of(texts):
+    terms, first, docs, tf, lengths, order = S.postings(pa.array(texts))
+    return S.Shard(order.tolist(), terms, first, docs, tf.astype(float), lengths, np.diff(first), len(texts), int(lengths.sum()))
+
+
+def ask(shard, text, k):
+    h = S.Words(*S.buffers(pa.array([text])), lower=True).hashes()
+    return [shard.ids[d] for _, d in shard.search(np.searchsorted(shard.terms, np.unique(h)), k)]
+
 
+def test_postings_are_skipped():
     r = random.Random(2)
     texts = ["common " + " ".join("x%d" % r.randint(0, 50) for _ in range(20)) for _ in range(4000)]
     for i in (5, 6, 7, 9):
         texts[i] = "rare special words here common"
-    terms, first, docs, tf, lengths, order = S.postings(pa.array(texts))
-    shard = S.Shard(order.tolist(), terms, first, docs, tf.astype(float), lengths, np.diff(first), 4000, int(lengths.sum()))
-    q = S.Words(*S.buffers(pa.array(["rare special words here common"])), lower=True).hashes()
-    seen = []
-    old = S.places
-    S.places = lambda begin, size: (seen.append(int(size.sum())), old(begin, size))[1]
-    try:
-        best = shard.search(np.searchsorted(terms, np.sort(q)), 4)
-    finally:
-        S.places = old
-    assert [shard.ids[d] for _, d in best] == [5, 6, 7, 9]
-    assert sum(seen[1:]) < 0.25 * 4000
+    shard = shard_of(texts)
+    assert ask(shard, "rare special words here common", 4) == [5, 6, 7, 9]
+    assert shard.read < 0.05 * shard.listed
+
+
+def test_every_long_query_skips_postings_and_is_exact():
+    """Whole texts as queries, as the registered query has them."""
+    r = random.Random(4)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    texts = []
+    for i in range(1500):  # common words of the language and words of one of 30 topics
+        texts.append(" ".join(vocabulary[int(r.paretovariate(0.9)) % 100] if r.random() < 0.5 else vocabulary[100 * (i % 30) + r.randint(0, 99)] for _ in range(r.randint(50, 200))))
+    shard, every = shard_of(texts), brute(texts, range(0, 1500, 50), 10)
+    for q, want in every.items():
+        shard.read = shard.listed = 0
+        assert ask(shard, texts[q], 10) == [d for d, _ in want]
+        assert 0 < shard.read < shard.listed
 
 
 def test_empty_and_repeated(spark):

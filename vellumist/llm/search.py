@@ -1,9 +1,12 @@
 """1. Exact top-k search: BM25 over an inverted index in shards, with block-max WAND dynamic pruning.
 
-A shard indexes a block of documents by word hash; every K_BLOCK documents of a posting list have their maximum kept. A query first
-adds up the maxima of each such block, scores the documents of the FIRST blocks by that bound exactly, and then those of all further
-blocks but the ones whose bound is below the k-th score so far. Documents lie in the shard by their most frequent word, so that blocks
-are alike within and bounds tight. Document frequencies and lengths are global and exact, so shards' results merge exactly.
+A shard indexes a block of documents by word hash; every 2**K_BLOCK documents of a posting list have their maximum kept. For a query,
+the maxima of a block's lists add up to a bound for its documents. Blocks are taken in falling order of that bound, in rounds: the k-th
+score so far is a threshold that rises from round to round, and the first block whose bound is below it ends the search, as its lists
+and those of all blocks behind it are skipped. As in WAND, the words whose greatest weights add up to less than the threshold can't lift
+a document over it by themselves: within a block the others' postings are read first, and theirs only where a document's sum so far and
+the block's maxima of what is left still reach the threshold. Documents lie in the shard by their most frequent word, so that blocks are
+alike within and bounds tight. Document frequencies and lengths are global and exact, so shards' results merge exactly.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ from .shared import blocks, filesystem, fresh, scan
 from .text import Words, buffers, distinct, slices
 
 K1, B, TOP = 1.2, 0.75, 10
-FIRST = 8  # blocks that a query begins with
-K_BLOCK = 6  # documents in a block of a posting list, as a power of two
-QUERY_GROUP = 4096  # queries that a task runs against a shard at a time
+FIRST = 8  # blocks in a query's first round; each further round takes twice as many
+K_BLOCK = 4  # documents in a block of a posting list, as a power of two
+QUERY_GROUP = 512  # queries that a task runs against a shard at a time
 EVERY = 100  # the query set: ids divisible by it
 _N, _LENGTH = np.uint64(0x1111111122222222), np.uint64(0x3333333344444444)  # keys that the number and total length of documents are asked by
 _SLACK = 1e-5  # bounds are compared with so much to spare, for rounding
@@ -84,45 +87,61 @@ class Shard:
         self.run_max = np.maximum.reduceat(self.impact, self.run) if len(self.run) else np.zeros(0)
         self.run_first = np.searchsorted(self.run, first)
         self.n_blocks = (len(ids) >> K_BLOCK) + 1
+        self.most = np.maximum.reduceat(self.run_max, self.run_first[:-1]) if len(self.run) else np.zeros(0)  # of each term
+        self.read = self.listed = 0  # postings read, and postings of the terms asked for
 
-    def _scored(self, runs: np.ndarray, block: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of the wanted blocks that have a term, and their exact scores."""
-        chosen = np.zeros(self.n_blocks, bool)
-        chosen[wanted] = True
-        mine = runs[chosen[block]]
-        at = places(self.run[mine], self.run_size[mine])
-        s = np.bincount(self.docs[at], self.impact[at])
-        found = np.flatnonzero(s)
-        return found, s[found]
+    def _sums(self, runs: np.ndarray, into: np.ndarray) -> np.ndarray:
+        """Adds the weights of the postings of ``runs`` to ``into``, by document; the documents met."""
+        at = places(self.run[runs], self.run_size[runs])
+        self.read += len(at)
+        docs = self.docs[at]
+        into += np.bincount(docs, self.impact[at], len(into))
+        return docs
 
     def search(self, terms: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(score rounded to six places, document) of the best k of this shard; ``terms`` are places in self.terms, rising."""
         begin = self.run_first[terms]
-        runs = places(begin, self.run_first[terms + 1] - begin)
+        size = self.run_first[terms + 1] - begin
+        runs = places(begin, size)
         if not len(runs):
             return []
-        block = self.run_block[runs]
-        bound = np.bincount(block, self.run_max[runs], self.n_blocks)
+        self.listed += int((self.first[terms + 1] - self.first[terms]).sum())
+        block, run_max = self.run_block[runs], self.run_max[runs]
+        bound = np.bincount(block, run_max, self.n_blocks)
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        first = order[:FIRST]
-        docs, scores = self._scored(runs, block, first)
-        if len(order) > FIRST:
-            threshold = float(np.partition(scores, -k)[-k]) if len(scores) >= k else 0.0
-            rest = order[FIRST : int(np.searchsorted(-bound[order], -(threshold - _SLACK), "right"))]
-            if 2 * len(rest) > len(order):  # few are left out: whole lists are read faster than pieces of them
-                at = places(self.first[terms], self.first[terms + 1] - self.first[terms])
-                s = np.bincount(self.docs[at], self.impact[at])
-                docs = np.flatnonzero(s)
-                scores = s[docs]
-            elif len(rest):
-                more, s = self._scored(runs, block, rest)
-                docs, scores = np.concatenate([docs, more]), np.concatenate([scores, s])
-        if len(scores) > k:
-            keep = scores >= np.partition(scores, -k)[-k] - _SLACK
-            scores, docs = scores[keep], docs[keep]
-        best = sorted(zip((-np.round(scores, 6)).tolist(), docs.tolist()), key=lambda x: (x[0], self.ids[x[1]] is None, self.ids[x[1]] or 0, x[1]))
-        return [(-s, d) for s, d in best[:k]]
+        falling = -bound[order]
+        by = np.argsort(self.most[terms], kind="stable")
+        reach = np.empty(len(terms))
+        reach[by] = np.cumsum(self.most[terms][by])  # what a term and all weaker ones add at most
+        reach = np.repeat(reach, size)
+        scores, in_round = np.zeros(len(self.ids)), np.zeros(self.n_blocks, bool)
+        best, threshold, at, many = np.zeros(0), 0.0, 0, FIRST
+        while at < (end := int(np.searchsorted(falling, -max(threshold - _SLACK, 1e-300), "right"))):
+            chosen = order[at : min(end, at + many)]
+            in_round[:] = False
+            in_round[chosen] = True
+            mine = np.flatnonzero(in_round[block])
+            strong = reach[mine] >= threshold - _SLACK
+            weak = mine[~strong]
+            docs = self._sums(runs[mine[strong]], scores)
+            if len(weak) and len(docs):
+                left = np.bincount(block[weak], run_max[weak], self.n_blocks)
+                able = docs[scores[docs] + left[docs >> K_BLOCK] >= threshold - _SLACK]
+                in_round[:] = False
+                in_round[able >> K_BLOCK] = True
+                self._sums(runs[weak[in_round[block[weak]]]], scores)
+            at, many = at + len(chosen), 2 * many
+            met = np.zeros(len(scores), bool)
+            met[docs] = True
+            found = scores[met]
+            best = np.concatenate([best, found])
+            if len(best) > k:
+                best = np.partition(best, -k)[-k:]
+            if len(best) == k:
+                threshold = float(best.min())
+        docs = np.flatnonzero(scores >= max(threshold - _SLACK, 1e-300))
+        ranking = sorted(zip((-np.round(scores[docs], 6)).tolist(), docs.tolist()), key=lambda x: (x[0], self.ids[x[1]] is None, self.ids[x[1]] or 0, x[1]))
+        return [(-s, d) for s, d in ranking[:k]]
 
 
 def _dump(arrays: dict[str, np.ndarray]) -> bytes:
@@ -169,43 +188,28 @@ def load(fs, path: str) -> Shard:
     return Shard(ids, z["terms"], z["first"], z["docs"].astype(np.int64), z["tf"].astype(np.float64), z["lengths"], z["df"], n, total)
 
 
-def pack_queries(queries: DataFrame, root: str, column: str, key: str) -> DataFrame:
-    """Writes groups of at most QUERY_GROUP queries (the distinct words of a whole text); a row with its path for each."""
-    schema = pa.schema([("path", pa.string())])
+def pack_queries(queries: DataFrame, root: str, column: str, key: str) -> int:
+    """Writes groups of about QUERY_GROUP queries, the distinct words of a whole text each, as a folder by number; how many there are."""
+    n_groups = queries.count() // QUERY_GROUP + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = filesystem(root)
-        fs.create_dir(base, recursive=True)
-        ids: list[int] = []
-        terms: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            path = f"{base}/{uuid.uuid4().hex}.npz"
-            with fs.open_output_stream(path, compression=None) as f:
-                f.write(_dump({"ids": np.array(ids, np.int64), "terms": np.concatenate(terms), "size": np.array([len(t) for t in terms], np.int64)}))
-            return pa.RecordBatch.from_pydict({"path": [path]}, schema)
-
         for batch in batches:
             for part in slices(batch, column):
                 data, offsets = buffers(part.column(column))
                 w = Words(data, offsets, lower=True)
                 h = w.hashes()
-                for i, a, b in zip(part.column(key).to_pylist(), w.first[:-1].tolist(), w.first[1:].tolist()):
-                    if b > a:
-                        ids.append(i)
-                        t = np.sort(h[a:b])
-                        terms.append(t[distinct(t)])
-                    if len(ids) >= QUERY_GROUP:
-                        yield flush()
-                        ids, terms = [], []
-        if ids:
-            yield flush()
-
-    path = f"{root}-queries"
-    # few and short beside the documents: gathered into full groups
-    n = queries.count()
-    queries.select(key, column).repartition(max(1, n // QUERY_GROUP + 1)).mapInArrow(run, "path string").write.parquet(path)
-    return queries.sparkSession.read.schema("path string").parquet(path)
+                terms = []
+                for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+                    t = np.sort(h[a:b])
+                    terms.append(t[distinct(t)].tobytes())
+                out = pa.RecordBatch.from_arrays([part.column("_group"), part.column("_query"), part.column(key), pa.array(terms, pa.binary())], ["_group", "_query", key, "terms"])
+                yield out.filter(pa.array([len(t) > 0 for t in terms]))
+
+    # few beside the documents; each gets a number, which tells repeated rows apart
+    rows = queries.select(key, column).withColumn("_query", F.monotonically_increasing_id())
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_query"), F.lit(n_groups))).repartition(n_groups, "_group")
+    rows.mapInArrow(run, f"_group long, _query long, {key} long, terms binary").write.partitionBy("_group").parquet(root)
+    return n_groups
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = TOP, column: str = "text", key: str = "doc_id") -> DataFrame:
@@ -219,36 +223,35 @@ def search(df: DataFrame, queries: DataFrame, k: int = TOP, column: str = "text"
     root = fresh(spark, "index")
     docs = scan(df.select(F.col(key).cast("long").alias("_key"), F.col(column).alias("text")), ["_key", "text"])
     shards = build(docs, f"{root}/shards")
-    groups = pack_queries(queries.select(F.col(key).cast("long").alias(key), column), f"{root}/queries", column, key)
-    names = sorted(r["path"] for r in groups.collect())  # a path for each QUERY_GROUP queries
-    where = spark.sparkContext.broadcast(names)
-    tasks = shards.select("path", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(names) - 1)))).alias("group")).where(F.lit(bool(names)))
+    n_groups = pack_queries(queries.select(F.col(key).cast("long").alias(key), column), f"{root}/queries", column, key)
+    tasks = shards.select("path", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"))  # the query set in blocks against all rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = filesystem(root)
+        import pyarrow.dataset as ds
+        from pyarrow.fs import FileType
+
+        fs, base = filesystem(f"{root}/queries")
         shard, loaded = None, None
         for batch in batches:
             for path, group in zip(batch.column("path").to_pylist(), batch.column("group").to_pylist()):
+                where = f"{base}/_group={group}"
+                if fs.get_file_info(where).type == FileType.NotFound:
+                    continue  # no query has this number
                 if path != loaded:
                     shard, loaded = load(fs, path), path
-                with fs.open_input_file(where.value[group]) as f:
-                    q = np.load(io.BytesIO(f.read()))
-                    ids, terms, size = q["ids"], q["terms"], q["size"]
-                order = np.argsort(terms)
-                place = np.full(len(terms), -1)
-                at = np.searchsorted(shard.terms, terms[order])
-                at[at == len(shard.terms)] = 0
-                place[order] = np.where(shard.terms[at] == terms[order], at, -1) if len(shard.terms) else -1
+                asked = ds.dataset(where, filesystem=fs, format="parquet").to_table(columns=["_query", key, "terms"])
                 out = []
-                for i, (a, n) in enumerate(zip((np.cumsum(size) - size).tolist(), size.tolist())):
-                    mine = place[a : a + n]
-                    out += [(group * QUERY_GROUP + i, int(ids[i]), shard.ids[d], s) for s, d in shard.search(mine[mine >= 0], k)]
+                for q, i, raw in zip(*(c.to_pylist() for c in asked.columns)):
+                    terms = np.frombuffer(raw, np.uint64)
+                    at = np.minimum(np.searchsorted(shard.terms, terms), max(0, len(shard.terms) - 1))
+                    mine = at[shard.terms[at] == terms] if len(shard.terms) else at[:0]
+                    out += [(q, i, shard.ids[d], s) for s, d in shard.search(mine, k)]
                 if out:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["q", "query_id", "doc_id", "score"])
 
     n = max(1, shards.count())
-    found = tasks.repartition(min(100_000, n * max(1, len(names))), "path", "group").mapInArrow(run, "q long, query_id long, doc_id long, score double")
+    found = tasks.repartition(min(100_000, n * n_groups), "path", "group").mapInArrow(run, "q long, query_id long, doc_id long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
