@@ -3,9 +3,11 @@
 A shard indexes a block of documents by word hash; every 2**K_BLOCK documents of a posting list have their maximum kept. For a query,
 the maxima of a block's lists add up to a bound for its documents. Blocks are taken in falling order of that bound, in rounds: the k-th
 score so far is a threshold that rises from round to round, and the first block whose bound is below it ends the search, as its lists
-and those of all blocks behind it are skipped. As in WAND, the words whose greatest weights add up to less than the threshold can't lift
-a document over it by themselves: within a block the others' postings are read first, and theirs only where a document's sum so far and
-the block's maxima of what is left still reach the threshold. Documents lie in the shard by their most frequent word, so that blocks are
+and those of all blocks behind it are skipped. As in WAND, words whose greatest weights add up to less than the threshold can't lift a
+document over it by themselves: within a block the others' postings are read first, and theirs only where a document's sum so far and
+the block's maxima of what is left still reach the threshold. Only lists that every block has documents of (over one in DENSE) are not
+skipped in, as there is nothing to skip: a matrix product gives their sums for many queries at once, and bounds begin from them.
+Documents lie in the shard by their most frequent word, so that blocks are
 alike within and bounds tight. Document frequencies and lengths are global and exact, so shards' results merge exactly.
 """
 
@@ -26,9 +28,11 @@ from .shared import blocks, filesystem, fresh, scan
 from .text import Words, buffers, distinct, slices
 
 K1, B, TOP = 1.2, 0.75, 10
-FIRST = 8  # blocks in a query's first round; each further round takes twice as many
-K_BLOCK = 4  # documents in a block of a posting list, as a power of two
-QUERY_GROUP = 512  # queries that a task runs against a shard at a time
+FIRST, GROWTH = 8, 8  # blocks in a query's first round, and how many times more each further round takes
+K_BLOCK = 5  # documents in a block of a posting list, as a power of two
+DENSE = 10  # a list of more than one document in so many of the shard's is dense
+TOGETHER = 64  # queries in one matrix product
+QUERY_GROUP = 4096  # queries that a task runs against a shard at a time
 EVERY = 100  # the query set: ids divisible by it
 _N, _LENGTH = np.uint64(0x1111111122222222), np.uint64(0x3333333344444444)  # keys that the number and total length of documents are asked by
 _SLACK = 1e-5  # bounds are compared with so much to spare, for rounding
@@ -77,68 +81,91 @@ class Shard:
         average = total / n_docs if total else 1.0
         idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         self.impact = np.repeat(idf, np.diff(first)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / average))
+        self.n_blocks, self.block_size = (len(ids) >> K_BLOCK) + 1, 1 << K_BLOCK
+        n = np.diff(first)
+        # lists that every block has documents of can't be skipped: they lie as rows of a matrix, a place for each document
+        self.full = np.full(len(terms), -1)
+        long = np.flatnonzero(n * DENSE > len(ids))
+        self.full[long] = np.arange(len(long))
+        self.dense = np.zeros((len(long), self.n_blocks * self.block_size))
+        at = places(first[long], n[long])
+        self.dense[np.repeat(np.arange(len(long)), n[long]), docs[at]] = self.impact[at]
+        self.n = n
         block = docs >> K_BLOCK
-        term = np.repeat(np.arange(len(terms)), np.diff(first))
+        term = np.repeat(np.arange(len(terms)), n)
         new = np.ones(len(docs), bool)
         new[1:] = (block[1:] != block[:-1]) | (term[1:] != term[:-1])
-        self.run = np.flatnonzero(new)  # runs of postings of one term in one block of documents
+        self.run = np.flatnonzero(new)
         self.run_size = np.diff(np.append(self.run, len(docs)))
         self.run_block = block[self.run]
         self.run_max = np.maximum.reduceat(self.impact, self.run) if len(self.run) else np.zeros(0)
         self.run_first = np.searchsorted(self.run, first)
-        self.n_blocks = (len(ids) >> K_BLOCK) + 1
         self.most = np.maximum.reduceat(self.run_max, self.run_first[:-1]) if len(self.run) else np.zeros(0)  # of each term
         self.read = self.listed = 0  # postings read, and postings of the terms asked for
 
-    def _sums(self, runs: np.ndarray, into: np.ndarray) -> np.ndarray:
-        """Adds the weights of the postings of ``runs`` to ``into``, by document; the documents met."""
+    def _add(self, scores: np.ndarray, runs: np.ndarray) -> None:
+        """Adds the weights of the postings of ``runs`` to their documents' scores."""
         at = places(self.run[runs], self.run_size[runs])
         self.read += len(at)
-        docs = self.docs[at]
-        into += np.bincount(docs, self.impact[at], len(into))
-        return docs
-
-    def search(self, terms: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """(score rounded to six places, document) of the best k of this shard; ``terms`` are places in self.terms, rising."""
+        scores += np.bincount(self.docs[at], self.impact[at], len(scores))
+
+    def known(self, terms: np.ndarray) -> np.ndarray:
+        """Places of those terms that the shard has."""
+        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        return at[self.terms[at] == terms] if len(self.terms) else at[:0]
+
+    def search_all(self, queries: list[np.ndarray], k: int) -> Iterator[list[tuple[float, int]]]:
+        """:meth:`search` for each query; what the dense lists give all documents is one matrix product for TOGETHER of them."""
+        for a in range(0, len(queries), TOGETHER):
+            some = queries[a : a + TOGETHER]
+            asked = np.zeros((len(some), len(self.dense)))
+            for row, terms in zip(asked, some):
+                lists = self.full[terms]
+                row[lists[lists >= 0]] = 1
+            for terms, scores in zip(some, asked @ self.dense):
+                yield self.search(terms[self.full[terms] < 0], k, scores)
+
+    def search(self, terms: np.ndarray, k: int, scores: np.ndarray) -> list[tuple[float, int]]:
+        """(score rounded to six places, document) of the best k of this shard. ``terms`` are places in self.terms of words whose lists
+        aren't dense, rising; ``scores`` holds what the dense ones gave."""
         begin = self.run_first[terms]
         size = self.run_first[terms + 1] - begin
         runs = places(begin, size)
-        if not len(runs):
-            return []
-        self.listed += int((self.first[terms + 1] - self.first[terms]).sum())
+        self.listed += int(self.n[terms].sum())
         block, run_max = self.run_block[runs], self.run_max[runs]
-        bound = np.bincount(block, run_max, self.n_blocks)
+        so_far = scores.reshape(-1, self.block_size).max(1)
+        bound = so_far + np.bincount(block, run_max, self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         falling = -bound[order]
-        by = np.argsort(self.most[terms], kind="stable")
-        reach = np.empty(len(terms))
-        reach[by] = np.cumsum(self.most[terms][by])  # what a term and all weaker ones add at most
-        reach = np.repeat(reach, size)
-        scores, in_round = np.zeros(len(self.ids)), np.zeros(self.n_blocks, bool)
+        most = self.most[terms]
+        by = np.argsort(most, kind="stable")
+        reach = np.cumsum(most[by]) + so_far.max(initial=0)  # a document with no sparse words but a term and weaker ones has less
+        in_round, done = np.zeros(self.n_blocks, bool), np.zeros(self.n_blocks, bool)
         best, threshold, at, many = np.zeros(0), 0.0, 0, FIRST
         while at < (end := int(np.searchsorted(falling, -max(threshold - _SLACK, 1e-300), "right"))):
             chosen = order[at : min(end, at + many)]
             in_round[:] = False
-            in_round[chosen] = True
+            in_round[chosen] = done[chosen] = True
             mine = np.flatnonzero(in_round[block])
-            strong = reach[mine] >= threshold - _SLACK
-            weak = mine[~strong]
-            docs = self._sums(runs[mine[strong]], scores)
-            if len(weak) and len(docs):
-                left = np.bincount(block[weak], run_max[weak], self.n_blocks)
-                able = docs[scores[docs] + left[docs >> K_BLOCK] >= threshold - _SLACK]
-                in_round[:] = False
-                in_round[able >> K_BLOCK] = True
-                self._sums(runs[weak[in_round[block[weak]]]], scores)
-            at, many = at + len(chosen), 2 * many
-            met = np.zeros(len(scores), bool)
-            met[docs] = True
-            found = scores[met]
-            best = np.concatenate([best, found])
-            if len(best) > k:
+            n_weak = int(np.searchsorted(reach, threshold - _SLACK, "left"))
+            if n_weak:
+                is_weak = np.zeros(len(terms), bool)
+                is_weak[by[:n_weak]] = True
+                is_weak = np.repeat(is_weak, size)[mine]
+                mine, rest = mine[~is_weak], mine[is_weak]
+                self._add(scores, runs[mine])
+                left = np.bincount(block[rest], run_max[rest], self.n_blocks)[chosen]
+                able = scores.reshape(-1, self.block_size)[chosen].max(1) + left >= threshold - _SLACK
+                in_round[chosen[~able]] = False
+                mine = rest[in_round[block[rest]]]
+            self._add(scores, runs[mine])
+            best = np.concatenate([best, scores.reshape(-1, self.block_size)[chosen].ravel()])
+            best = best[best > 0]
+            if len(best) >= k:
                 best = np.partition(best, -k)[-k:]
-            if len(best) == k:
                 threshold = float(best.min())
+            at, many = at + len(chosen), GROWTH * many
+        scores.reshape(-1, self.block_size)[~done] = 0  # whose bounds are below the threshold
         docs = np.flatnonzero(scores >= max(threshold - _SLACK, 1e-300))
         ranking = sorted(zip((-np.round(scores[docs], 6)).tolist(), docs.tolist()), key=lambda x: (x[0], self.ids[x[1]] is None, self.ids[x[1]] or 0, x[1]))
         return [(-s, d) for s, d in ranking[:k]]
@@ -240,12 +267,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = TOP, column: str = "text"
                 if path != loaded:
                     shard, loaded = load(fs, path), path
                 asked = ds.dataset(where, filesystem=fs, format="parquet").to_table(columns=["_query", key, "terms"])
-                out = []
-                for q, i, raw in zip(*(c.to_pylist() for c in asked.columns)):
-                    terms = np.frombuffer(raw, np.uint64)
-                    at = np.minimum(np.searchsorted(shard.terms, terms), max(0, len(shard.terms) - 1))
-                    mine = at[shard.terms[at] == terms] if len(shard.terms) else at[:0]
-                    out += [(q, i, shard.ids[d], s) for s, d in shard.search(mine, k)]
+                q, ids, terms = (c.to_pylist() for c in asked.columns)
+                found_ = shard.search_all([shard.known(np.frombuffer(x, np.uint64)) for x in terms], k)
+                out = [(a, b, shard.ids[d], s) for a, b, best in zip(q, ids, found_) for s, d in best]
                 if out:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["q", "query_id", "doc_id", "score"])
