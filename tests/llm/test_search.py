@@ -65,7 +65,7 @@ def test_postings_are_skipped():
         texts[i] = "rare special words here common"
     shard = shard_of(texts)
     assert ask(shard, "rare special words here common x1 x2 x3", 4) == [5, 6, 7, 9]
-    assert shard.read < 0.1 * shard.listed
+    assert shard.read < 0.25 * shard.listed
 
 
 def test_every_long_query_skips_postings_and_is_exact():

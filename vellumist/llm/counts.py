@@ -21,14 +21,19 @@ PER_FOLDER = 64_000_000
 _ANSWER, _TOP, _GROUP = 0, 1, 2
 
 
+def shard_edges(keys: np.ndarray, n_shards: int) -> np.ndarray:
+    """Where each shard's keys begin among rising ``keys``, and the end of the last."""
+    inner = np.searchsorted(keys, (np.arange(1, n_shards, dtype=np.float64) * (2.0**64 / n_shards)).astype(np.uint64))
+    return np.concatenate(([0], inner, [len(keys)]))
+
+
 def ask(docs: DataFrame, of_block: Callable, column: str = "text", n_shards: int = 12, block_bytes: int = 16_000_000) -> DataFrame:
     """of_block(rows of a block) -> (keys sorted and distinct, counts, a small group of each key), packed by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in blocks(batches, column, block_bytes):
             keys, counts, group = of_block(rows)
-            edges = np.searchsorted(keys, (np.arange(1, n_shards, dtype=np.float64) * (2.0**64 / n_shards)).astype(np.uint64))
-            edges = np.concatenate(([0], edges, [len(keys)]))
+            edges = shard_edges(keys, n_shards)
             pack = lambda a, f: pa.array([f(a[edges[s] : edges[s + 1]]) for s in range(n_shards)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_shards)), pa.array(np.full(n_shards, block)), pack(keys, packed_keys), pack(counts, packed), pack(group, packed)], ["shard", "block", "keys", "counts", "groups"])
 
@@ -71,7 +76,7 @@ class Answers:
 
     def __init__(self, docs: DataFrame, of_block: Callable, column: str = "text", top: int = 0, block_bytes: int = 16_000_000, shard_bytes: int = 16_000_000, top_below: int = 256):
         spark = docs.sparkSession
-        self.path, self.parts = fresh(spark, "totals"), max(1, min(100_000, input_bytes(docs) // PER_FOLDER))
+        self.path, self.parts = fresh(spark, "totals"), folders(docs)
         parts = self.parts
 
         def add(table: pa.Table) -> pa.Table:
@@ -102,7 +107,7 @@ class Answers:
         n_shards = shards(docs, shard_bytes)
         rows = ask(docs, of_block, column, n_shards, block_bytes).repartition(n_shards, "shard").groupBy("shard").applyInArrow(add, "kind byte, block long, a long, b long, c long, data binary")
         part = F.when(F.col("kind") == _ANSWER, F.pmod("block", F.lit(parts))).otherwise(F.lit(-1))
-        rows.withColumn("part", part).repartition("part", "block").sortWithinPartitions("part", "block", "a").write.partitionBy("part").parquet(self.path)
+        write_by_block(rows.withColumn("part", part), self.path, parts)
         schema = "kind byte, block long, a long, b long, c long, data binary, part int"
         rest = spark.read.schema(schema).parquet(self.path).where("part = -1")
         #: (key, total, group) of the most frequent keys whose group is less than top_below; ties by key
@@ -112,17 +117,34 @@ class Answers:
 
     def reader(self) -> Callable[[int], np.ndarray]:
         """For workers: block -> totals in the order of its keys."""
-        path, parts = self.path, self.parts
+        read = block_reader(self.path, self.parts)
+        return lambda block: np.concatenate([np.zeros(0, np.int64), *(unpacked(x) for x in read(block))])
+
+
+def folders(docs: DataFrame) -> int:
+    """How many folders the answers to the blocks of ``docs`` are written in."""
+    return max(1, min(100_000, input_bytes(docs) // PER_FOLDER))
+
+
+def write_by_block(rows: DataFrame, path: str, parts: int) -> None:
+    """Writes (part, block, a, data): a folder for each part, a block's rows in one file."""
+    rows.repartition("part", "block").sortWithinPartitions("part", "block", "a").write.partitionBy("part").parquet(path)
+
+
+def block_reader(path: str, parts: int) -> Callable[[int], list[bytes]]:
+    """For workers: block -> data of the block's rows in the order of a."""
 
-        def read(block: int) -> np.ndarray:
-            import pyarrow.dataset as ds
+    def read(block: int) -> list[bytes]:
+        import pyarrow.dataset as ds
+        from pyarrow.fs import FileType
 
-            fs, base = filesystem(f"{path}/part={block % parts}")
-            t = ds.dataset(base, filesystem=fs, format="parquet").to_table(columns=["a", "data"], filter=ds.field("block") == block).sort_by("a")
-            got = [unpacked(x) for x in t.column("data").to_pylist()]
-            return np.concatenate(got) if got else np.zeros(0, np.int64)
+        fs, base = filesystem(f"{path}/part={block % parts}")
+        if fs.get_file_info(base).type == FileType.NotFound:
+            return []
+        t = ds.dataset(base, filesystem=fs, format="parquet").to_table(columns=["a", "data"], filter=ds.field("block") == block)
+        return t.sort_by("a").column("data").to_pylist()
 
-        return read
+    return read
 
 
 def ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,75 +1,48 @@
 """2. Quality rules: base counts, and the perplexity of a modified Kneser-Ney n-gram model with bands for each language.
 
-The model is over 4-grams of 64 symbols (letters without case, digits as one, marks, classes of UTF-8 bytes), counted by Spark over
-all distinct texts: however many copies a text has, it counts once in the model and once in its language's band. There are at most 2**24 different 4-grams whatever the input, so what is collected, smoothed and broadcast has a
-proven bound (134 MB; about a hundredth of it on real text). It is stored as a sorted array of hashes with probabilities.
+The model is over runs of ORDER bytes as they are, of any script and case, counted by Spark over all distinct texts: however many copies
+a text has, it counts once in the model and once in its language's band. Discounts, context weights and the lower orders' continuation
+counts are aggregations and joins of the counted runs, so the model has no bound in size; it is stored as sorted arrays of 64-bit hashes
+with their probabilities, cut by hash range. A block of documents asks each range for its distinct runs, found by binary search, and gets
+float32 logarithms back: no worker or driver ever holds the whole model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .counts import Answers, ranked
-from .shared import blocks, fresh, scan, stored
+from .counts import Answers, block_reader, folders, packed_keys, ranked, shard_edges, unpacked_keys, write_by_block
+from .shared import blocks, fresh, scan, shards, stored
 from .text import Words, buffers, distinct, hash_pieces, mix, slices
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 LOWER_SPREADS, UPPER_SPREADS = 6.5, 8.0  # of the distance between median and quartile
 LEAST_SPREAD = 0.03  # log10 a word: the quartile distance counts as so much at least
-LEAST_DOCUMENTS = 20  # languages with fewer have no band
+SHARED_TEXTS = 20  # texts of all languages together that each language's band is formed with, besides its own
 STEADY_WORDS = 400  # from so many words on, longer texts vary no less
 BIN = 200  # histogram bins for each unit of log10 perplexity
 
-BITS, ORDER = 6, 4
-SIZE = 1 << BITS
-_MASK = np.uint32((1 << (BITS * ORDER)) - 1)
-_HASH = 0x9E3779B1  # odd: multiplying by it is a bijection modulo 2**24
-_UNHASH = pow(_HASH, -1, 1 << (BITS * ORDER))
-
-
-def _symbols() -> np.ndarray:
-    t = np.zeros(256, np.uint8)
-    for b in range(256):
-        c = chr(b)
-        if b >= 0xC0:
-            t[b] = 40 + (b & 7)
-        elif b >= 0x80:
-            t[b] = 48 + (b >> 2 & 15)
-        elif c.isalpha():
-            t[b] = 1 + ord(c.lower()) - 97
-        elif c.isdigit():
-            t[b] = 27
-        elif b <= 32 or b == 127:
-            t[b] = 0
-        else:
-            t[b] = {".": 28, ",": 29, "-": 30, "'": 30, '"': 31, "!": 32, "?": 32, ":": 33, ";": 33, "(": 34, ")": 34, "|": 35, "#": 36, "*": 36, "$": 37, "%": 37, "&": 38}.get(c, 39)
-    return t
-
-
-_SYMBOL = _symbols()
-_PAD = np.zeros(ORDER - 1, np.uint8)
+ORDER = 5  # bytes of a run
+BLOCK_BYTES = 8_000_000
+HELD = 4_000_000  # runs that a task holds before it sends its counts on
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The packed 4-gram that ends at each byte; before a text there are blanks."""
-    symbols = _SYMBOL[data]
-    parts = []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        parts += [_PAD, symbols[a:b]]
-    s = np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)
+    """The run of ORDER bytes that ends at each byte, as a number; before a text there are spaces."""
+    pad = ORDER - 1
+    n = len(offsets) - 1
+    at = np.arange(len(data)) + np.repeat(pad * np.arange(1, n + 1), np.diff(offsets))
+    s = np.full(len(data) + pad * n, 32, np.uint64)
+    s[at] = data
     k = s.copy()
     for back in range(1, ORDER):
-        k[back:] |= s[:-back] << np.uint32(BITS * back)
-    keep = np.ones(len(k), bool)
-    at = offsets[:-1] + (ORDER - 1) * np.arange(len(offsets) - 1)
-    for d in range(ORDER - 1):
-        keep[at + d] = False
-    return k[keep]
+        k[back:] |= s[:-back] << np.uint64(8 * back)
+    return k[at]
 
 
 def text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -77,118 +50,164 @@ def text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return hash_pieces(np.concatenate([data, np.zeros(16, np.uint8)]), offsets[:-1], np.diff(offsets))
 
 
-def count_ngrams(df: DataFrame, column: str = "text") -> DataFrame:
-    """(gram, n) over all distinct texts, summed within each task before the shuffle: at most 2**24 rows a task.
+def _count_and_ask(docs: DataFrame, column: str, n_shards: int) -> DataFrame:
+    """One pass with two kinds of rows: a task's counted runs (shard -1), and each block's distinct runs by shard, as hashes.
 
     Of a text's copies, each block counts one, as the share of all copies that the block holds; the shares add up to one text. How
     many copies there are comes from ``Answers``, where a block sends each of its texts' hashes once.
     """
-    docs = scan(df, [column])
 
     def of_block(rows: pa.Table):
         keys, at = ranked(text_hashes(*buffers(rows.column(column))))
         return keys, np.bincount(at, minlength=len(keys)), np.zeros(len(keys), np.uint8)
 
-    read = Answers(docs, of_block, column).reader()
+    read = Answers(docs, of_block, column, block_bytes=BLOCK_BYTES).reader()
+    names = ["shard", "block", "keys", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint32), np.zeros(0)
-        for block, rows in blocks(batches, column):
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0)
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0]), pa.array([packed_keys(keys)], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names)
+
+        for block, rows in blocks(batches, column, BLOCK_BYTES):
             texts, at = ranked(text_hashes(*buffers(rows.column(column))))
             copies = read(block)
             if len(copies) != len(texts):
                 raise RuntimeError("a block changed between two passes")
             own, one = np.bincount(at, minlength=len(texts)), np.empty(len(texts), np.int64)
             one[at[::-1]] = np.arange(len(at))[::-1]  # the first copy in the block
-            whole = own == copies
-            for chosen, share in ((one[whole], None), (one[~whole], (own / copies)[~whole])):
-                done = 0
-                for part in slices(rows.take(pa.array(chosen)), column):
-                    data, offsets = buffers(part.column(column))
-                    k = ngrams(data, offsets)
-                    if share is None:
-                        k.sort()
-                        heads = distinct(k)
-                        n = np.diff(np.append(heads, len(k))).astype(np.float64)
-                    else:
-                        order = np.argsort(k)
-                        each = np.repeat(share[done : done + part.num_rows], np.diff(offsets))[order]
-                        k = k[order]
-                        heads = distinct(k)
-                        n = np.add.reduceat(each, heads) if len(heads) else np.zeros(0)
-                    done += part.num_rows
-                    keys, counts = np.concatenate([keys, k[heads]]), np.concatenate([counts, n])
-                    order = np.argsort(keys)
-                    keys, counts = keys[order], counts[order]
-                    heads = distinct(keys)
-                    if len(heads):
-                        keys, counts = keys[heads], np.add.reduceat(counts, heads)
-        for a in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].astype(np.int32)), pa.array(counts[a : a + 100_000])], ["gram", "n"])
-
-    return docs.mapInArrow(run, "gram int, n double").groupBy("gram").agg(F.round(F.sum("n")).cast("long").alias("n"))
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """What is taken off counts 0, 1, 2 and 3 or more; a half a count where counts of counts are zero."""
-    n = [0, *(int((counts == k).sum()) for k in range(1, 5))]
+            share = own / copies
+            asked: list[np.ndarray] = []
+            done = 0
+            for part in slices(rows.take(pa.array(one)), column, 2_000_000):
+                data, offsets = buffers(part.column(column))
+                k = ngrams(data, offsets)
+                order = np.argsort(k)
+                each = np.repeat(share[done : done + part.num_rows], np.diff(offsets))[order]
+                done += part.num_rows
+                k = k[order]
+                heads = distinct(k)
+                n = np.add.reduceat(each, heads) if len(heads) else np.zeros(0)
+                asked.append(k[heads])
+                keys, counts = np.concatenate([keys, k[heads]]), np.concatenate([counts, n])
+                order = np.argsort(keys, kind="stable")
+                keys, counts = keys[order], counts[order]
+                heads = distinct(keys)
+                if len(heads):
+                    keys, counts = keys[heads], np.add.reduceat(counts, heads)
+            if len(keys) > HELD:
+                yield counted()
+                keys, counts = keys[:0], counts[:0]
+            h = np.sort(mix(np.unique(np.concatenate(asked)))) if asked else np.zeros(0, np.uint64)
+            edges = shard_edges(h, n_shards)
+            some = np.flatnonzero(np.diff(edges))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), block)), pa.array([packed_keys(h[edges[i] : edges[i + 1]]) for i in some], pa.binary()), pa.array([None] * len(some), pa.binary())], names)
+        if len(keys):
+            yield counted()
+
+    return docs.mapInArrow(run, "shard long, block long, keys binary, counts binary")
+
+
+def _unfolded(rows: DataFrame) -> DataFrame:
+    """(gram, n): the counts of all tasks added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                k, n = unpacked_keys(keys).view(np.int64), np.frombuffer(counts)
+                for a in range(0, len(k), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000]), pa.array(n[a : a + 100_000])], ["gram", "n"])
+
+    rows = rows.where("shard = -1").select("keys", "counts").mapInArrow(run, "gram long, n double")
+    return rows.groupBy("gram").agg(F.round(F.sum("n")).cast("long").alias("n"))
+
+
+def discounts(counts: dict[int, int]) -> list[float]:
+    """What is taken off counts 1, 2 and 3 or more, from how many runs have the counts 1 to 4; fixed shares where those are zero."""
+    n = [0, *(counts.get(k, 0) for k in range(1, 5))]
     if not n[1] or not n[2]:
-        return np.array([0, 0.5, 0.75, 0.9])
+        return [0.5, 0.75, 0.9]
     y = n[1] / (n[1] + 2 * n[2])
-    d = [0.0, *(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else k * 0.5 for k in range(1, 4))]
-    return np.array([0, *(min(max(d[k], 0.1), k * 0.95) for k in range(1, 4))])
+    d = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else k * 0.5 for k in range(1, 4)]
+    return [min(max(x, 0.1), k * 0.95) for k, x in zip(range(1, 4), d)]
+
+
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, p): the interpolated modified Kneser-Ney probability of each counted run's last byte after the bytes before it."""
+    levels = [stored(counts, "runs")]
+    for k in range(order - 1, 0, -1):
+        short = levels[-1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram"))
+        levels.append(stored(short.agg(F.count("*").alias("n")), "runs"))
+    below = None
+    for k, t in enumerate(reversed(levels)):
+        d = discounts({r[0]: r[1] for r in t.where("n < 5").groupBy("n").count().collect()})  # four rows
+        t = t.withColumn("ctx", F.shiftright("gram", 8)).withColumn("d", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
+        of = t.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
+        t = t.join(of, "ctx")
+        if below is None:
+            under = F.lit(1 / 256)
+        else:
+            t = t.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))).join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("under")), "suffix")
+            under = F.col("under")
+        below = stored(t.select("gram", ((F.col("n") - F.col("d") + F.col("left") * under) / F.col("total")).alias("p")), "probabilities")
+    return below
 
 
 class Model:
-    """Interpolated modified Kneser-Ney: ``hashes`` (sorted) and ``p`` of the 4-grams seen, ``lower`` and ``weight`` for the rest.
-
-    The probability of a 4-gram not seen is weight[its first three] * lower[its last three].
-    """
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        grams = grams.astype(np.int64)
-        # types of the shorter grams: in how many different symbols' company each was seen
-        levels = [(grams, counts)]
-        for k in range(ORDER - 1, 0, -1):
-            short = levels[-1][0] & ((1 << (BITS * k)) - 1)
-            n = np.bincount(short, minlength=1 << (BITS * k))
-            seen = np.flatnonzero(n)
-            levels.append((seen, n[seen]))
-        below = np.full(1, 1.0 / SIZE)
-        for order, (g, n) in zip(range(1, ORDER + 1), reversed(levels)):
-            d = discounts(n)[np.minimum(n, 3)]
-            context = g >> BITS
-            size = 1 << (BITS * (order - 1))
-            total = np.bincount(context, n, size)
-            left = np.bincount(context, d, size)
-            weight = np.where(total > 0, left / np.maximum(total, 1), 1.0)
-            p = (n - d) / total[context] if len(g) else np.zeros(0)
-            if order < ORDER:
-                full = np.repeat(weight, SIZE) * np.tile(below, SIZE) if order > 1 else weight[0] * np.full(SIZE, below[0])
-                full[g] += p
-                below = full
-            else:
-                p = p + weight[context] * below[g & (len(below) - 1)]
-        hashes = (g * _HASH) & int(_MASK)
-        by = np.argsort(hashes)
-        self.hashes, self.p = hashes[by].astype(np.uint32), p[by].astype(np.float32)
-        self.lower, self.weight = below.astype(np.float32), weight.astype(np.float32)
-
-    def log10(self) -> np.ndarray:
-        """log10 of the probability of every 4-gram: the arrays unfolded for direct lookup in a worker (32 MB)."""
-        out = np.empty(1 << (BITS * ORDER), np.float16)
-        step = len(self.lower)
-        for first in range(SIZE):
-            w = np.repeat(self.weight[first * step // SIZE : (first + 1) * step // SIZE], SIZE)
-            out[first * step : (first + 1) * step] = np.log10(np.maximum(w * self.lower, 1e-30))
-        out[(self.hashes.astype(np.int64) * _UNHASH) & int(_MASK)] = np.log10(np.maximum(self.p, 1e-30))
-        return out
-
-
-def train(df: DataFrame, column: str = "text") -> Model:
-    """The model of all distinct texts of ``df``."""
-    t = count_ngrams(df, column).toArrow()
-    return Model(t.column("gram").to_numpy(), t.column("n").to_numpy())
+    """The model's sorted hash arrays in the shared folder, and its answers to each block of ``docs``."""
+
+    def __init__(self, docs: DataFrame, column: str):
+        spark = docs.sparkSession
+        n_shards = shards(docs)
+        rows = stored(_count_and_ask(docs, column, n_shards), "ngrams")
+        probabilities = kneser_ney(_unfolded(rows))
+        self.arrays = stored(self._packed(probabilities, n_shards), "model")
+        asked = rows.where("shard >= 0").select("shard", "block", "keys")
+        self.path, self.parts = fresh(spark, "answers"), folders(docs)
+        answers = self.arrays.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(look_up, "block long, a long, data binary")
+        write_by_block(answers.withColumn("part", F.pmod("block", F.lit(self.parts))), self.path, self.parts)
+
+    @staticmethod
+    def _packed(probabilities: DataFrame, n_shards: int) -> DataFrame:
+        """(shard, hashes, logs): a row of sorted hashes and float32 logarithms for each hash range."""
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = mix(batch.column("gram").to_numpy(False).view(np.uint64))
+                bounds = (np.arange(1, n_shards, dtype=np.float64) * (2.0**64 / n_shards)).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, h, "right")), pa.array(h.view(np.int64)), batch.column("p")], ["shard", "h", "p"])
+
+        def pack(t: pa.Table) -> pa.Table:
+            h = t.column("h").to_numpy().view(np.uint64)
+            by = np.argsort(h)
+            logs = np.log10(np.maximum(t.column("p").to_numpy()[by], 1e-30)).astype(np.float32)
+            return pa.table({"shard": t.column("shard")[:1], "hashes": pa.array([h[by].tobytes()], pa.binary()), "logs": pa.array([logs.tobytes()], pa.binary())})
+
+        rows = probabilities.select("gram", "p").mapInArrow(hashed, "shard long, h long, p double").repartition(n_shards, "shard")
+        return rows.groupBy("shard").applyInArrow(pack, "shard long, hashes binary, logs binary")
+
+    def reader(self) -> Callable[[int], np.ndarray]:
+        """For workers: block -> log10 probabilities of its distinct runs, in order of their hashes."""
+        read = block_reader(self.path, self.parts)
+        return lambda block: np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32) for x in read(block))])
+
+
+def look_up(arrays: pa.Table, asked: pa.Table) -> pa.Table:
+    """A shard's answers: each block's hashes by binary search in the shard's sorted array."""
+    block, shard, out = [], [], []
+    if asked.num_rows:
+        hashes, logs = (np.frombuffer(arrays.column(c)[0].as_py(), k) for c, k in (("hashes", np.uint64), ("logs", np.float32)))
+        for s, b, keys in zip(*(asked.column(c).to_pylist() for c in ("shard", "block", "keys"))):
+            h = unpacked_keys(keys)
+            at = np.searchsorted(hashes, h)
+            if not np.array_equal(hashes[np.minimum(at, len(hashes) - 1)], h):
+                raise RuntimeError("a block changed between two passes")
+            block.append(b)
+            shard.append(s)
+            out.append(logs[at].tobytes())
+    return pa.table({"block": pa.array(block, pa.int64()), "a": pa.array(shard, pa.int64()), "data": pa.array(out, pa.binary())})
 
 
 _SIGN = np.zeros(256, bool)
@@ -250,56 +269,64 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"n_words": n_words, "word_chars": word_chars, "n_symbols": _per_text(_SIGN[data], offsets), "n_dup_lines": n_dup, "n_repeat_words": n_repeat}
 
 
-_LOADED: dict = {}
+def real_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Words of each text that have a letter, a digit or a byte of another script; marks by themselves are none."""
+    w = Words(data, offsets)
+    total = np.concatenate(([0], np.cumsum(_ALNUM[data], dtype=np.int64)))
+    real = np.concatenate(([0], np.cumsum(total[w.starts + w.lens] > total[w.starts])))
+    return real[w.first[1:]] - real[w.first[:-1]]
 
 
-def _log10_table(model) -> np.ndarray:
-    if model.id not in _LOADED:
-        _LOADED.clear()
-        _LOADED[model.id] = model.value.log10()
-    return _LOADED[model.id]
+_ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
-class _Shared:
-    """A broadcast model with an id that workers keep its table by."""
+def _scored(docs: DataFrame, model: Model, column: str, fn: Callable, schema) -> DataFrame:
+    """``fn`` over parts of each block: (rows, counts, log10 perplexity a word, null without one) -> rows. No shuffle."""
+    read = model.reader()
 
-    def __init__(self, spark: SparkSession, model: Model):
-        self.id, self.b = fresh(spark, "model"), spark.sparkContext.broadcast(model)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in blocks(batches, column, BLOCK_BYTES):
+            data, offsets = buffers(rows.column(column))
+            runs = ngrams(data, offsets)
+            keys = np.unique(runs)
+            hashes = mix(keys)
+            by = np.argsort(hashes)
+            answers = read(block)
+            if len(answers) != len(keys):
+                raise RuntimeError("a block changed between two passes")
+            logs = np.empty(len(keys), np.float32)
+            logs[by] = answers
+            total, some = np.zeros(rows.num_rows), np.flatnonzero(np.diff(offsets))
+            if len(some):  # a text's sum is the same wherever it lies
+                total[some] = np.add.reduceat(logs[np.searchsorted(keys, runs)].astype(np.float64), offsets[some])
+            counts = base_counts(data, offsets)
+            real = real_words(data, offsets)
+            score = np.where(real > 0, -total / np.maximum(real, 1), np.nan)
+            counts["text"] = text_hashes(data, offsets).view(np.int64)
+            counts["failed"] = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
+            yield from fn(rows, counts, score)
 
-    @property
-    def value(self) -> Model:
-        return self.b.value
+    return docs.mapInArrow(run, schema)
 
 
-def _scores(part: pa.RecordBatch, column: str, table: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    data, offsets = buffers(part.column(column))
-    counts = base_counts(data, offsets)
-    logs = np.concatenate(([0.0], np.cumsum(table[ngrams(data, offsets)], dtype=np.float64)))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        score = np.where(counts["n_words"] > 0, -(logs[offsets[1:]] - logs[offsets[:-1]]) / counts["n_words"], np.nan)
-    counts["text"] = text_hashes(data, offsets).view(np.int64)
-    counts["failed"] = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
-    return counts, score
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def score_quality(df: DataFrame, model: _Shared, column: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """Base counts and log10 perplexity a word (null without words) of each whole text, and its hash. No shuffle."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+def score_quality(docs: DataFrame, model: Model, column: str, key: str, lang: str) -> DataFrame:
+    """Base counts and log10 perplexity a word (null without words) of each whole text, and its hash, of a :func:`scan`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _log10_table(model)
-        for batch in batches:
-            for part in slices(batch, column):
-                counts, score = _scores(part, column, table)
-                yield pa.RecordBatch.from_arrays([part.column(key).cast(pa.int64()), part.column(lang).cast(pa.string()), *(pa.array(counts[k].astype(np.int64)) for k in names), pa.array(counts["failed"]), pa.array(score, from_pandas=True), pa.array(counts["text"])], [key, lang, *names, "base_failed", "log_perplexity", "_text"])
+    def out(rows: pa.Table, counts: dict[str, np.ndarray], score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        columns = [rows.column(key).cast(pa.int64()), rows.column(lang).cast(pa.string()), *(pa.array(counts[k].astype(np.int64)) for k in _COUNTS), pa.array(counts["failed"]), pa.array(score, from_pandas=True), pa.array(counts["text"])]
+        yield from pa.table(columns, [key, lang, *_COUNTS, "base_failed", "log_perplexity", "_text"]).combine_chunks().to_batches()
 
-    return df.select(key, lang, column).mapInArrow(run, f"{key} long, {lang} string, " + "".join(f"{k} long, " for k in names) + "base_failed boolean, log_perplexity double, _text long")
+    return _scored(docs, model, column, out, f"{key} long, {lang} string, " + "".join(f"{k} long, " for k in _COUNTS) + "base_failed boolean, log_perplexity double, _text long")
 
 
 def bands(scored: DataFrame, lang: str = "lang") -> list[tuple[str, float, float, float]]:
     """(language, median, lower, upper) of log10 perplexity over the distinct texts that pass the base rules.
 
-    A text's distance from its language's median is weighed by the root of its length, as short texts vary more; the bands reach a
+    Each language's band is formed of its own texts and SHARED_TEXTS texts' weight of all languages together, so that one with few texts
+    has the band of all, and its own more and more as it grows. A text's distance from its language's median is weighed by the root of its length, as short texts vary more; the bands reach a
     number of quartile distances of that. Quartiles come from exact counts in bins of 1 / BIN and a few length classes, so the
     driver gets a bounded histogram for each language. Copies are dropped by hash within each task before they are shuffled.
     """
@@ -311,14 +338,17 @@ def bands(scored: DataFrame, lang: str = "lang") -> list[tuple[str, float, float
         .count()
         .collect()
     )
-    by: dict[str, list[tuple[float, float, int]]] = {}
+    by: dict[str, dict[tuple[int, int], float]] = {}
+    every: dict[tuple[int, int], float] = {}
+    total = sum(r["count"] for r in rows)
     for r in rows:
-        by.setdefault(r["lang"], []).append(((r["bin"] + 0.5) / BIN, 2 ** (r["size"] / 8 + 1 / 16) / 10, r["count"]))
+        at = (r["bin"], r["size"])
+        by.setdefault(r["lang"], {})[at] = r["count"]
+        every[at] = every.get(at, 0) + r["count"] * SHARED_TEXTS / total
     out = []
-    for name, bins in sorted(by.items()):
+    for name, own in sorted(by.items()):
+        bins = [((b + 0.5) / BIN, 2 ** (size / 8 + 1 / 16) / 10, own.get((b, size), 0) + n) for (b, size), n in every.items()]
         value, weight, n = (np.array(x) for x in zip(*bins))
-        if n.sum() < LEAST_DOCUMENTS:
-            continue
         median = _quantile(value, n, 0.5)
         off = (value - median) * weight
         low, high = (max(LEAST_SPREAD, abs(_quantile(off, n, q))) for q in (0.25, 0.75))
@@ -335,39 +365,39 @@ def _quantile(value: np.ndarray, n: np.ndarray, q: float) -> float:
 def quality_rules(df: DataFrame, column: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """Counts, perplexity and verdict of each document.
 
-    A null or empty text fails the base rules. A document without a language, or of one with few documents, is judged by the base
-    rules alone if its group has fewer than LEAST_DOCUMENTS different texts. Repeated rows are judged each; an empty table gives no rows.
+    A null or empty text fails the base rules. Documents without a language are a language of their own. A text of marks alone has no
+    perplexity and is rejected; one whose perplexity lies on a band's edge is kept. Texts of any length are scored whole, a very long one
+    in a block of its own. Repeated rows are judged each; an empty table gives no rows; other columns are not looked at.
     """
-    spark = df.sparkSession
-    scored = stored(score_quality(df, _Shared(spark, train(df, column)), column, key, lang), "quality")
-    limits = spark.createDataFrame(bands(scored, lang), "band_lang string, median double, lower double, upper double")
+    docs = scan(df.select(F.col(key).cast("long").alias(key), F.col(lang).cast("string").alias(lang), column), [key, lang, column])
+    scored = stored(score_quality(docs, Model(docs, column), column, key, lang), "quality")
+    limits = df.sparkSession.createDataFrame(bands(scored, lang), "band_lang string, median double, lower double, upper double")
     reach = F.sqrt(F.greatest(F.lit(1), F.least("n_words", F.lit(STEADY_WORDS))) / 100)
     scored = scored.withColumn("_reach", reach)
     return (
         scored.join(limits, F.coalesce(lang, F.lit("")) == F.col("band_lang"), "left")
         .withColumn("lower_band", F.col("median") + F.col("lower") / F.col("_reach"))
         .withColumn("upper_band", F.col("median") + F.col("upper") / F.col("_reach"))
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower_band"), F.col("upper_band")), F.lit(True)))
+        .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower_band"), F.col("upper_band")), F.lit(False)))
         .drop("band_lang", "median", "lower", "upper", "_reach", "_text", lang)
     )
 
 
 def keep_good(df: DataFrame, column: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """The rows of ``df`` that quality_rules keeps, all columns as they are. Texts are scored twice, never shuffled."""
-    spark = df.sparkSession
-    model = _Shared(spark, train(df, column))
-    limits = {name: rest for name, *rest in bands(stored(score_quality(df, model, column, key, lang), "quality"), lang)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _log10_table(model)
-        for batch in batches:
-            for part in slices(batch, column):
-                counts, score = _scores(part, column, table)
-                median, low, high = (np.array([limits.get(x or "", (0, -np.inf, np.inf))[k] for x in part.column(lang).to_pylist()]) for k in (0, 1, 2))
-                off = (score - median) * np.sqrt(np.minimum(counts["n_words"], STEADY_WORDS) / 100)
-                yield part.filter(pa.array(~counts["failed"] & (off >= low) & (off <= high)))
-
-    return df.mapInArrow(run, df.schema)
+    inner = dict(zip(df.columns, (f"c{i}" for i in range(len(df.columns)))))  # no name of df's can clash with those that blocks need
+    docs = scan(df.toDF(*inner.values()), list(inner.values()))
+    column, key, lang = inner[column], inner[key], inner[lang]
+    model = Model(docs, column)
+    limits = {name: rest for name, *rest in bands(stored(score_quality(docs, model, column, key, lang), "quality"), lang)}
+
+    def good(rows: pa.Table, counts: dict[str, np.ndarray], score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        median, low, high = (np.array([limits.get(x or "", (0, np.inf, -np.inf))[k] for x in rows.column(lang).to_pylist()]) for k in (0, 1, 2))
+        reach = np.sqrt(np.maximum(1, np.minimum(counts["n_words"], STEADY_WORDS)) / 100)
+        kept = ~counts["failed"] & (score >= median + low / reach) & (score <= median + high / reach)
+        yield from rows.drop_columns(["_file", "_start"]).rename_columns(list(inner)).filter(pa.array(kept)).to_batches()
+
+    return _scored(docs, model, column, good, df.schema)
 
 
 def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
