@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cases import TEXTS, empty, table
 from vellumist.llm import similar as S
@@ -99,3 +100,35 @@ def test_hot_set_and_repeated_rows(spark):
 
 def test_empty(spark):
     assert S.similar(empty(spark)).collect() == [] and S.keep_one(empty(spark)).collect() == []
+
+
+def test_null_keys_and_clashing_columns(spark):
+    a, b, c = " ".join("a%d" % i for i in range(60)), " ".join("b%d" % i for i in range(60)), " ".join("c%d" % i for i in range(60))
+    rows = [(None, a, 1), (None, a, 2), (None, a + " x", 3), (None, b, 4), (7, b, 5), (9, c, 6), (None, None, 7), (None, "", 8), (9, c, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone long").withColumn("label", F.lit(1)).withColumn("_gone", F.lit(2))
+    kept = S.keep_one(df)
+    assert kept.columns == df.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == 5 and (7, b) in got and (9, c) in got and (None, None) in got and (None, "") in got
+    assert sum(i is None and t in (a, a + " x") for i, t in got) == 1
+    ids = {r.component_id for r in S.similar(df).collect() if r.doc_id is None and r.n_shingles}
+    assert ids == {None, 7}
+
+
+def test_blocks_of_many_classes_are_tiled(spark, monkeypatch):
+    """Near copies in more than three tiles: every link, none of them twice."""
+    monkeypatch.setattr(S, "TILE", 4)
+    words = ["w%d" % i for i in range(200)]
+    texts = [" ".join(words + ["tail%d" % i]) for i in range(15)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = S.similar(df).collect()
+    assert all((r.n_similar, r.component_id) == (14, 0) for r in rows)
+
+
+def test_filter_grows_with_the_ids(spark):
+    from vellumist.llm.exchange import key_filter, passes
+
+    ids = spark.range(0, 3_000_000, 2).withColumn("h", F.xxhash64("id"))
+    bitmap = key_filter(ids, "h")
+    other = np.array([r.h for r in spark.range(1, 20_001, 2).select(F.xxhash64("id").alias("h")).collect()])
+    assert passes(bitmap, np.array([r.h for r in ids.limit(1000).collect()])).all() and passes(bitmap, other).mean() < 0.2

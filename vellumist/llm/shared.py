@@ -40,6 +40,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     return path
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` hasn't."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` written once in the shared folder and read from there: a cut in the lineage."""
     path = fresh(df.sparkSession, name)

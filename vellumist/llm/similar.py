@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .exchange import components, key_filter, passes
-from .shared import shards, stored
+from .shared import free_name, shards, stored
 from .text import Words, buffers, distinct, mix, shingles, slices
 
 WIDTH, THRESHOLD = 5, 90
@@ -168,8 +169,9 @@ def _packed_keys(df: DataFrame, column: str, n_shards: int, threshold: int) -> D
 def _tasks(packed: DataFrame) -> DataFrame:
     """(task, side, class): classes that share a block, in tasks of at most TILE a side.
 
-    A block that more classes share is cut into tiles, a task for each two tiles. A task is named by its members, so the many
-    blocks that near copies share make one task.
+    A block that more classes share is cut into tiles, written once each; the pairs of tiles are made of them by a later stage, a row
+    for a tile and its partner, spread over all tasks. A task is named by its members, so that the many blocks that the same near
+    copies share make one.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -179,38 +181,41 @@ def _tasks(packed: DataFrame) -> DataFrame:
         k, c = k[order], c[order]
         heads = distinct(k)
         size = np.diff(np.append(heads, len(k)))
-        task, side, cls = [], [], []
         two = heads[size == 2]
         a, b = np.minimum(c[two], c[two + 1]), np.maximum(c[two], c[two + 1])
         a, b = a[a != b], b[a != b]
         pair = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-        name = mix(mix(pair[:, 0]) + pair[:, 1])
-        for col in (0, 1):
-            task.append(name)
-            side.append(np.zeros(len(pair), np.int8))
-            cls.append(pair[:, col])
-        done = set()
+        rows: dict[tuple[int, int], tuple[int, int, int, bytes]] = {}
         for at, n in zip(heads[size > 2].tolist(), size[size > 2].tolist()):
             m = np.unique(c[at : at + n])
-            if len(m) < 2:
-                continue
-            tiles = [m[i : i + TILE] for i in range(0, len(m), TILE)]
-            for i in range(len(tiles)):
-                for j in range(i, len(tiles)):
-                    if i == j and len(tiles) > 1 and len(tiles[i]) < 2:
-                        continue
-                    both = [tiles[i]] if i == j else [tiles[i], tiles[j]]
-                    t = int.from_bytes(hashlib.blake2b(b"|".join(x.tobytes() for x in both), digest_size=8).digest(), "little")
-                    if t in done:
-                        continue
-                    done.add(t)
-                    for s, x in enumerate(both):
-                        task.append(np.full(len(x), t, np.uint64))
-                        side.append(np.full(len(x), s, np.int8))
-                        cls.append(x)
-        return pa.table({"task": np.concatenate(task).view(np.int64), "side": np.concatenate(side), "class": np.concatenate(cls).view(np.int64)})
-
-    return packed.groupBy("shard").applyInArrow(run, "task long, side byte, class long")
+            if len(m) > 1:
+                name = int.from_bytes(hashlib.blake2b(m.tobytes(), digest_size=8).digest(), "little", signed=True)
+                tiles = -(-len(m) // TILE)
+                for t in range(tiles):
+                    rows[name, t] = (name, t, tiles, m[t * TILE : (t + 1) * TILE].tobytes())
+        made = list(rows.values())
+        name = [mix(mix(pair[:, 0]) + pair[:, 1]).view(np.int64), np.array([r[0] for r in made], np.int64)]
+        one = [np.zeros(len(pair), np.int64), np.array([r[1] for r in made], np.int64)]
+        many = [np.ones(len(pair), np.int64), np.array([r[2] for r in made], np.int64)]
+        members = [x.tobytes() for x in pair] + [r[3] for r in made]
+        return pa.table({"name": np.concatenate(name), "tile": np.concatenate(one), "tiles": np.concatenate(many), "members": pa.array(members, pa.binary())})
+
+    tiles = stored(packed.groupBy("shard").applyInArrow(run, "name long, tile long, tiles long, members binary").dropDuplicates(["name", "tile"]), "tiles")
+    few, hot = tiles.where("tiles = 1"), tiles.where("tiles > 1")
+    few = few.select(F.col("name").alias("task"), F.lit(0).cast("byte").alias("side"), "members")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
+    hot = hot.repartition("name", "tile").select("name", "tile", "members", other)
+    side = F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).cast("byte").alias("side")
+    hot = hot.select(F.xxhash64("name", F.least("tile", "other"), F.greatest("tile", "other")).alias("task"), side, "members")
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.array([len(x) // 8 for x in batch.column("members").to_pylist()], np.int64)
+            owner = pa.array(np.repeat(np.arange(len(n)), n))
+            classes = np.frombuffer(b"".join(batch.column("members").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("task").take(owner), batch.column("side").take(owner), pa.array(classes)], ["task", "side", "class"])
+
+    return few.union(hot).mapInArrow(unfold, "task long, side byte, class long")
 
 
 def _by_task(rows: DataFrame, fn, columns: list[str], schema: str) -> DataFrame:
@@ -252,18 +257,24 @@ def _near(tasks: DataFrame, described: DataFrame, threshold: int) -> DataFrame:
     def fn(task: int, t: pa.Table) -> list[tuple]:
         cls, side, n = (t.column(c).to_numpy() for c in ("class", "side", "n"))
         raw = [np.frombuffer(x, np.uint8) for x in t.column("sketch").to_pylist()]
-        cross = side.any()
+        lens = np.array([len(x) for x in raw])
+        cross = bool(side.any())
         out = []
-        for i in range(len(cls)):
-            for_ = np.arange(len(cls)) > i if not cross else (side == 1) if side[i] == 0 else np.zeros(len(cls), bool)
-            for_ &= (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * threshold) & (cls != cls[i])
-            for j in np.flatnonzero(for_):
-                x, y = raw[i], raw[j]
-                if len(x) != len(y):
-                    k = min(len(x), len(y))
-                    x, y = fold(x, k), fold(y, k)
-                if int(np.bitwise_count(x ^ y).sum()) <= differing(int(n[i] + n[j]), threshold):
-                    out.append((min(cls[i], cls[j]), max(cls[i], cls[j]), task))
+        # similar sets have sketches of one length, or of two that are next to each other: then the longer one is folded
+        for width in np.unique(lens):
+            at = np.flatnonzero((lens == width) | (lens == 2 * width))
+            bits = np.stack([raw[i] if lens[i] == width else fold(raw[i], width) for i in at]).view(np.uint64)
+            for p, i in enumerate(at):
+                if cross and side[i]:
+                    continue
+                q = np.flatnonzero(side[at] == 1) if cross else np.arange(p + 1, len(at))
+                j = at[q]
+                fits = (np.minimum(lens[i], lens[j]) == width) & (cls[j] != cls[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * threshold)
+                q, j = q[fits], j[fits]
+                if len(j):
+                    far = np.bitwise_count(bits[q] ^ bits[p]).sum(1, dtype=np.int64)
+                    for x in cls[j[far <= differing(n[i] + n[j], threshold)]]:
+                        out.append((min(cls[i], x), max(cls[i], x), task))
         return out
 
     rows = tasks.join(described.select("class", "n", "sketch"), "class")
@@ -271,7 +282,7 @@ def _near(tasks: DataFrame, described: DataFrame, threshold: int) -> DataFrame:
 
 
 def _whole_sets(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """(class, values) of the sets of ``wanted`` classes. A bitmap of fixed size keeps nearly all others from the shuffle."""
+    """(class, values) of the sets of ``wanted`` classes. A bitmap of bounded size keeps others from the shuffle."""
     bitmap = df.sparkSession.sparkContext.broadcast(key_filter(wanted, "class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,15 +323,16 @@ def _verified(near: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def similar(df: DataFrame, column: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
-    """(key, class, n_shingles, n_similar, component_id) of each row.
+    """(key, class, component, n_shingles, n_similar, component_id) of each row; component is a class of it.
 
     Links are between all rows whose sets' Jaccard is at least ``threshold`` percent; equal sets are linked with each other. A row
-    without text or words has no shingle, links nothing and is its own component. Repeated rows count as documents each. Every
+    without text or words has no shingle, links nothing and is its own component. Repeated rows count as documents each. A null key is no smallest key:
+    component_id is null where a component has no other. Every
     stage holds at most one task's classes; a set that a third of all rows have is one class after a partial aggregation.
     """
     each = stored(describe(df, column, key), "sets")
     classes = stored(each.where("n > 0").groupBy("class", "n").agg(F.count("*").alias("copies"), F.min(key).alias("least"), F.first("sketch").alias("sketch")), "classes")
-    tasks = _tasks(_packed_keys(df, column, shards(df, 8_000_000), threshold)).dropDuplicates()
+    tasks = _tasks(_packed_keys(df, column, shards(df, 8_000_000), threshold))
     near = stored(_near(tasks, classes, threshold), "near")
     wanted = stored(near.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
     links = stored(_verified(near, _whole_sets(df, wanted, column), threshold), "links")
@@ -330,40 +342,58 @@ def similar(df: DataFrame, column: str = "text", key: str = "doc_id", threshold:
     labels = components(links).select(F.col("node").alias("class"), "label")
     known = small.join(more, "class", "left").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = known.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = known.where("copies > 1 or others is not null").join(least, "label").select("class", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), "component_id")
-    return each.join(linked, "class", "left").select(key, F.col("class"), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", key).alias("component_id"))
+    linked = known.where("copies > 1 or others is not null").join(least, "label").select("class", "label", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), "component_id")
+    return each.join(linked, "class", "left").select(key, F.col("class"), F.coalesce("label", "class").alias("component"), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", key).alias("component_id"))
 
 
 def keep_one(df: DataFrame, column: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``df`` with one document, that of the smallest key, of each component; all columns as they are.
 
-    Only rows that may have to go (a bitmap of fixed size tells) are shuffled, the others are kept where they are read. A key whose
-    row comes again with the same text keeps one of them; rows without words all stay.
+    Only rows that may have to go (a bitmap of bounded size tells) are shuffled, the others are kept where they are read. A key whose
+    row comes again with the same text keeps one of them; rows without words all stay. A row without a key is a document of its own:
+    it stays where no row with a key is in its component, and then only one of those that are there, whichever is met first.
     """
     found = stored(similar(df, column, key, threshold), "similar").where("n_shingles > 0")
-    gone = found.where(f"{key} <> component_id").select(key, F.lit(True).alias("_gone"))
-    again = found.groupBy(key).count().where("count > 1").select(key, F.lit(False).alias("_gone"))
-    special = stored(gone.union(again).groupBy(key).agg(F.max("_gone").alias("_gone")), "special")
+    mark, label = free_name(df, "gone"), free_name(df, "label")
+    gone = found.where(f"`{key}` <> component_id").select(key, F.lit(True).alias(mark))
+    again = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key, F.lit(False).alias(mark))
+    special = stored(gone.union(again).groupBy(key).agg(F.max(mark).alias(mark)), "special")
     bitmap = df.sparkSession.sparkContext.broadcast(key_filter(special, key))
 
     def part_of(hit: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(key).fill_null(0).to_numpy(False)
-                ok = passes(bitmap.value, ids)
-                yield batch.filter(pa.array(ok if hit else ~ok))
+                ids = batch.column(key)
+                ok = passes(bitmap.value, ids.fill_null(0).to_numpy(False)) & ids.is_valid().to_numpy(False)
+                yield batch.filter(pa.array(ok if hit else ~ok & ids.is_valid().to_numpy(False)))
 
         return run
 
     clear = df.mapInArrow(part_of(False), df.schema)
     doubtful = df.mapInArrow(part_of(True), df.schema).join(special, key, "left")
-    kept = doubtful.where("_gone is null").select(*df.columns)
-    one = doubtful.where("_gone = false").dropDuplicates([key, column]).select(*df.columns)
-    return clear.unionByName(kept).unionByName(one)
+    kept = doubtful.where(F.col(mark).isNull()).select(*df.columns)
+    one = doubtful.where(~F.col(mark)).dropDuplicates([key, column]).select(*df.columns)
+    return clear.unionByName(kept).unionByName(one).unionByName(_without_key(df, found, column, key, label))
+
+
+def _without_key(df: DataFrame, found: DataFrame, column: str, key: str, label: str) -> DataFrame:
+    """Rows whose key is null: those without words, and one of each class that no other row is in or linked with."""
+    labels = found.where(F.col(key).isNull()).select(F.col("class").alias(label), "component_id", "component").distinct()
+    labels = labels.where("component_id is null").groupBy("component").agg(F.min(label).alias(label)).select(label)  # one class a component
+    schema = T.StructType([*df.schema.fields, T.StructField(label, T.LongType())])
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, column):
+                yield part.append_column(label, pa.array(set_ids(*_sets(part, column)).view(np.int64)))
+
+    rows = df.where(F.col(key).isNull()).mapInArrow(classed, schema)
+    some = rows.where(F.col(label) != 0).join(labels, label, "left_semi").dropDuplicates([label])
+    return rows.where(F.col(label) == 0).select(*df.columns).unionByName(some.select(*df.columns))
 
 
 def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class")
+    return similar(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class", "component")
 
 
 SQL_OP3 = r"""
