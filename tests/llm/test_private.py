@@ -41,8 +41,61 @@ def test_added_kinds():
     assert P.masked(x, P.find(x)).startswith('see <ADDRESS>. my token = "<ACCOUNT>"')
 
 
+PLANTED = [  # (text, what is to be found of the added kinds)
+    ("Konto: 1234567890 bitte", ["1234567890"]),
+    ("Ihre Kontonummer lautet 12 345 678.", ["12 345 678"]),
+    ("contraseña: hunter22", ["hunter22"]),
+    ("Passwort = geheim77!", ["geheim77"]),
+    ("mot de passe : soleil2024 ok", ["soleil2024"]),
+    ("la cuenta bancaria número 0049 1500 0512 3456 sigue", ["0049 1500 0512 3456"]),
+    ("IBAN: DE89 3704 0044 0532 0130 00 und mehr", ["DE89 3704 0044 0532 0130 00"]),
+    ("iban DE89370400440532013000", ["DE89370400440532013000"]),
+    ("IBAN GB82 WEST 1234 5698 7654 32.", ["GB82 WEST 1234 5698 7654 32"]),
+    ("account number 12345678", ["12345678"]),
+    ("ssn 123-45-6789", ["123-45-6789"]),
+    ("Social Security No. 078-05-1120,", ["078-05-1120"]),
+    ("passport no: C01X00T47", ["C01X00T47"]),
+    ("see www.example.com/path and", ["www.example.com/path"]),
+    ("ftp://files.example.org:2121/a_b?c=d.", ["ftp://files.example.org:2121/a_b?c=d"]),
+    ("http://user:pw@10.0.0.1:80/x", ["http://user:pw@10.0.0.1:80/x"]),
+    ("mailto:jo@mail.example.com", ["mailto:jo@mail.example.com"]),
+    ("tel:+49-30-1234567", ["tel:+49-30-1234567"]),
+    ('{"api_key": "sk_live_9f8a7b6c"}', ["sk_live_9f8a7b6c"]),
+    ("the password is correct1horse", ["correct1horse"]),
+    # nothing to be found
+    ("account is temporarily1 closed", []),
+    ("an account of 3 travellers in 1999", []),
+    ("iban DE00370400440532013000", []),
+    ("ssn 666-45-6789 and ssn 900-12-3456 and ssn 123-00-6789", []),
+    ("http://]]]a and http://.. and http://-", []),
+    ("the token economy of 2024", []),
+    ("cuenta con 3 amigos", []),
+    ("die Kontonummer fehlt", []),
+    ("subtokens=12345678 discount: 123456", []),
+    ("tel: ask for 12", []),
+    ("password: required", []),
+]
+
+
+def test_recall_and_precision_on_planted_cases():
+    found = right = wanted = 0
+    for x, want in PLANTED:
+        got = [x[a:b] for k, a, b in P.find(x) if k not in P.BASE]
+        found, right, wanted = found + len(got), right + len(set(got) & set(want)), wanted + len(want)
+        assert got == want, (x, got)
+    assert right == wanted == found == 20
+
+
+def test_iban_checksum_by_brute_force():
+    for code in ("DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606", "ES9121000418450200051332"):
+        assert P.iban(code, 0) == len(code)
+        for i in range(4, len(code)):
+            other = code[:i] + str((int(code[i], 36) + 1) % 10) + code[i + 1 :]
+            assert P.iban(other, 0) < len(code)
+
+
 def test_long_texts_are_linear():
-    for x in ("1" * 300_000, "1 " * 150_000, "a@" * 100_000, "+1" + "(" * 100_000, "token = " * 50_000, "1." * 100_000):
+    for x in ("1" * 300_000, "1 " * 150_000, "a@" * 100_000, "+1" + "(" * 100_000, "token = " * 50_000, "1." * 100_000, "iban " * 50_000, "iban " + "DE11" * 50_000, "http://" + "a." * 100_000, "www." * 100_000, "konto " + "1 " * 100_000, "account number " * 50_000):
         P.find(x)
 
 
