@@ -56,13 +56,39 @@ def test_round_trip_equals_the_library(spark, libraries):
 
 def test_tree_joins_are_exact(libraries):
     r = random.Random(3)
-    e = T.TreeEncoder(T.vocabulary(T.WORD_VOCABULARY), leaf=7, long_text=10)
+    e = T.TreeEncoder(T.vocabulary(T.WORD_VOCABULARY), leaf=7)
     alphabets = ["abcdefghij", "thearin", "aaaaab", "日本語学校", "éàü", "ab1.,'\"!", "the" * 3]
     for k in range(800):
         s = "".join(r.choice(r.choice(alphabets)) for _ in range(r.randint(0, 300)))
         if k % 5 == 0:
             s = s[:50] + "<|endoftext|>" + s[50:]
-        assert e([s])[0] == ids(libraries[1], s), s
+        assert e([s])[0].tolist() == ids(libraries[1], s), s
+
+
+def test_tree_of_whole_texts_is_exact(libraries):
+    """Halves of texts with words, white space of every kind, marks, accents that compose across a cut, and unsplit stretches."""
+    r = random.Random(8)
+    parts = ["the", "anaesthetic", "don't", "we'll", "e\u0301", "\u0301", "ΑΣ", "İ", "日本語学校", "12345", "!!!", "...", "<|endoftext|>", "x" * 40, "ǅ", "\u0344"]
+    spaces = [" ", "  ", "\n", "\t", "\u3000", "\r\n", "\x1c", "\u00a0"]
+    for leaf in (4, 32, 150):
+        e = T.TreeEncoder(T.vocabulary(T.WORD_VOCABULARY), leaf=leaf)
+        texts = ["".join(r.choice(parts) + (r.choice(spaces) if r.random() < 0.8 else "") for _ in range(r.randint(0, 60))) for _ in range(250)]
+        assert [x.tolist() for x in e(texts)] == [ids(libraries[1], x) for x in texts]
+        assert leaf < 100 or e.joins > 100
+
+
+def test_documents_go_through_the_tree(spark, libraries):
+    """Every document longer than a leaf is encoded by halves, and all ids are the library's."""
+    import os
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        return
+    texts = [x.text or "" for x in spark.read.parquet(path).select("text").collect()]
+    e = T.TreeEncoder(T.vocabulary(T.WORD_VOCABULARY))
+    assert [x.tolist() for x in e(texts)] == [ids(libraries[1], x) for x in texts]
+    assert e.joins >= sum(len(x) > e.leaf for x in texts) > len(texts) / 4
+    assert e.joins == sum((1 << ((len(x) - 1) // e.leaf).bit_length()) - 1 for x in texts if x)
 
 
 def check_packing(rows, encoded, capacity):

@@ -82,44 +82,141 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------- 7. encoding and decoding exactly
 
 
-class TreeEncoder:
-    """Encodes as the tokenizers library does, long unsplit pieces by halves.
+def same(a: np.ndarray, b: np.ndarray) -> bool:
+    return len(a) == len(b) and bool((a == b).all())
+
 
-    A pre-token of more than ``leaf`` symbols is cut in halves down to leaves; leaves are encoded as one batch, and at
-    each join a growing window is encoded again until its first token is one that the left half has there and its last
-    token one of the right half. Merges being ordered, a sequence whose neighbours all agree is the encoding of the
-    whole, so ids equal the library's.
+class TreeEncoder:
+    """Encodes as the tokenizers library does, whole texts by halves.
+
+    A text of more than ``leaf`` characters is cut in halves, wherever that falls, down to leaves; the leaves of all texts are encoded as
+    one batch. Then halves are joined, level by level: a window round each join, from some words before it to some words behind, is
+    encoded again, all windows of a level as one batch, and grows until its first token is one that the left half has there and its last
+    token one of the right half; as it begins and ends at white space, which no token reaches across, the joined ids are those of the
+    whole. A stretch of half a leaf or more without a space or line break has no such places: it is normalised and cut into pre-tokens
+    first, and a pre-token's halves are joined symbol by symbol. Merges being ordered, a sequence whose neighbours all agree is the
+    encoding of the whole there too. Batches run on as many threads as TOKENIZERS_PARALLELISM allows; in Spark tasks that is one.
     """
 
-    def __init__(self, path: str, leaf: int = 2048, long_text: int = 8192):
+    def __init__(self, path: str, leaf: int = 1024):
         import json
 
-        from tokenizers import models
+        from tokenizers import Tokenizer, models
 
-        self.t, self.leaf, self.long_text = tokenizer(path), leaf, long_text
+        self.t, self.leaf = tokenizer(path), leaf
         spec = json.load(open(path))
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         suffix = model.get("end_of_word_suffix") or ""
-        self.last = models.BPE(model["vocab"], merges, end_of_word_suffix=suffix) if suffix else models.BPE(model["vocab"], merges)
-        self.inner = models.BPE(model["vocab"], merges)
+        self.last = Tokenizer(models.BPE(model["vocab"], merges, end_of_word_suffix=suffix) if suffix else models.BPE(model["vocab"], merges))
+        self.inner = Tokenizer(models.BPE(model["vocab"], merges))
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.plain = all(not (a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"]) for a in spec["added_tokens"])
+        self.unsplit = re.compile("[^ \n]{%d,}" % max(1, leaf // 2))
         self.suffix = suffix
         self.names = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        short = [i for i, x in enumerate(texts) if len(x) <= self.long_text]
+        self.joins = 0  # of halves of texts
+        self.memo = Memo(self.words)
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """ids of leaves and windows, all as one batch: distinct words that the worker has not met go to the library together."""
+        if not texts:
+            return []
+        ids, ends = word_ids(self.memo, pa.array(texts, pa.large_string()))
+        return [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
+    def words(self, texts: list[str]) -> list[list[int]]:
+        """ids of words without white space."""
+        short = [i for i, x in enumerate(texts) if len(x) <= self.leaf]
         out: list = [None] * len(texts)
         for i, e in zip(short, self.t.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)):
             out[i] = e.ids
+        return [self.long(x) if ids is None else ids for x, ids in zip(texts, out)]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.plain:  # added tokens that take white space along
+            return [np.array(e.ids, np.int64) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        pieces, owner, long = [], [], []  # stretches of text between unsplit ones, in order
         for i, x in enumerate(texts):
-            if out[i] is None:
-                out[i] = self.long(x) if self.plain else self.t.encode(x, add_special_tokens=False).ids
-        return out
+            at = 0
+            for m in self.unsplit.finditer(x) if len(x) > self.leaf else ():
+                pieces += [x[at : m.start()], m[0]]
+                owner += [i, i]
+                long += [False, True]
+                at = m.end()
+            pieces.append(x[at:])
+            owner.append(i)
+            long.append(False)
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        split = iter(self.halved([p for p, skip in zip(pieces, long) if not skip]))
+        for p, i, skip in zip(pieces, owner, long):
+            out[i].append(np.array(self.long(p), np.int64) if skip else next(split))
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+    def halved(self, texts: list[str]) -> list[np.ndarray]:
+        """ids of texts that have white space in every half leaf."""
+        cuts, leaves, first = [], [], []
+        for x in texts:
+            n = 1 << max(0, (len(x) - 1) // self.leaf).bit_length()
+            cuts.append([len(x) * k // n for k in range(n + 1)])
+            first.append(len(leaves))
+            leaves += [x[a:b] for a, b in zip(cuts[-1], cuts[-1][1:])]
+        ids = self._encoded(leaves)
+        nodes = [ids[a : a + len(c) - 1] for a, c in zip(first, cuts)]
+        while any(len(x) > 1 for x in nodes):
+            self._join_level(texts, cuts, nodes)
+        return [x[0] for x in nodes]
+
+    def _join_level(self, texts: list[str], cuts: list[list[int]], nodes: list[list[np.ndarray]]) -> None:
+        """Joins each text's nodes two by two; cuts[i] are the bounds of nodes[i]."""
+        todo = [(i, k, 2) for i, x in enumerate(nodes) for k in range(0, len(x) - 1, 2)]
+        done: dict[tuple[int, int], np.ndarray] = {}
+        while todo:
+            asked, edges = [], []
+            for i, k, words in todo:
+                low, cut, high = cuts[i][k : k + 3]
+                a, b = self._before(texts[i], low, cut, words), self._behind(texts[i], cut, high, words)
+                edges.append((a == low, b == high))
+                asked += [texts[i][a:b], texts[i][a:cut], texts[i][cut:b]]
+            got = self._encoded(asked)
+            again = []
+            for (i, k, words), (at_low, at_high), window, before, behind in zip(todo, edges, got[::3], got[1::3], got[2::3]):
+                left, right = nodes[i][k], nodes[i][k + 1]
+                a, b = len(left) - len(before), len(behind)
+                ok_left = at_low or (same(window[:1], before[:1]) and same(left[a:], before))
+                ok_right = at_high or (same(window[-1:], behind[-1:]) and same(right[:b], behind))
+                if ok_left and ok_right:
+                    done[i, k] = np.concatenate([left[:a], window, right[b:]])
+                    self.joins += 1
+                else:
+                    again.append((i, k, 2 * words))
+            todo = again
+        for i, x in enumerate(nodes):
+            if len(x) > 1:
+                nodes[i] = [done[i, k] if k + 1 < len(x) else x[k] for k in range(0, len(x), 2)]
+                cuts[i] = cuts[i][::2] if len(x) % 2 == 0 else [*cuts[i][::2], cuts[i][-1]]
+
+    @staticmethod
+    def _before(text: str, low: int, at: int, words: int) -> int:
+        for _ in range(words):
+            at = max(text.rfind(" ", low, at), text.rfind("\n", low, at))
+            if at < 0:
+                return low
+        return at
+
+    @staticmethod
+    def _behind(text: str, at: int, high: int, words: int) -> int:
+        for _ in range(words):
+            space = text.find(" ", at, high)
+            line = text.find("\n", at, high if space < 0 else space)
+            at = (line if line >= 0 else space) + 1
+            if not at:
+                return high
+        return at
 
     def long(self, text: str) -> list[int]:
+        """ids of a stretch without white space."""
         ids: list[int] = []
         for part in self.at_special.split(text) if self.special else [text]:
             if part in self.special:
@@ -130,13 +227,13 @@ class TreeEncoder:
                 ids += self.word(token)
         return ids
 
-    def _tokens(self, symbols: str, ends: bool) -> list[int]:
-        return [t.id for t in (self.last if ends else self.inner).tokenize(symbols)]
+    def _tokens(self, symbols: list[str], ends: bool) -> list[list[int]]:
+        return [e.ids for e in (self.last if ends else self.inner).encode_batch_fast(symbols, add_special_tokens=False)]
 
     def word(self, symbols: str) -> list[int]:
-        """ids of one pre-token."""
+        """ids of one pre-token; its leaves are one batch."""
         parts = [symbols[a : a + self.leaf] for a in range(0, len(symbols), self.leaf)]
-        level = [self._tokens(p, k == len(parts) - 1) for k, p in enumerate(parts)]
+        level = self._tokens(parts[:-1], False) + self._tokens(parts[-1:], True)
         while len(level) > 1:
             level = [self.join(level[k], level[k + 1], k + 2 == len(level)) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
         return level[0] if level else []
@@ -150,19 +247,20 @@ class TreeEncoder:
         while True:
             a, b = max(0, len(left) - width), min(len(right), width)
             whole = ends and b == len(right)
-            got = self._tokens(self._symbols(left[a:], False) + self._symbols(right[:b], whole), whole)
+            got = self._tokens([self._symbols(left[a:], False) + self._symbols(right[:b], whole)], whole)[0]
             if (a == 0 or got[0] == left[a]) and (b == len(right) or got[-1] == right[b - 1]) or (a == 0 and b == len(right)):
                 return left[:a] + got + right[b:]
             width *= 2
 
 
-def _word_memo(path: str) -> tuple[Memo, list[bytes]]:
+def encoder(path: str) -> tuple[TreeEncoder, list[bytes]]:
+    """A worker's encoder, and the tokens' names by id."""
+
     def make():
-        encoder = TreeEncoder(path)
-        names = [encoder.names.get(i, "").encode() for i in range(max(encoder.names) + 1)]
-        return Memo(encoder), names
+        e = TreeEncoder(path)
+        return e, [e.names.get(i, "").encode() for i in range(max(e.names) + 1)]
 
-    return table("words:" + path, make)
+    return table("tree:" + path, make)
 
 
 def word_ids(memo: Memo, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -180,18 +278,19 @@ def word_ids(memo: Memo, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def encode_decode(df: DataFrame, path: str, column: str = "text", key: str = "doc_id", digests: bool = False) -> DataFrame:
     """ids and the text decoded from them for each whole text, as the library gives both; null is empty.
 
-    With ``digests`` their SHA-256 instead. Without a decoder in the vocabulary's file, decoding joins the tokens' names
-    with spaces. No shuffle; repeated rows stay.
+    Texts are encoded whole by :class:`TreeEncoder`, those of a part of a batch together, whatever their length. With ``digests`` their SHA-256 instead. Without a decoder in the vocabulary's file, decoding joins the tokens' names
+    with spaces. No shuffle; repeated rows stay and are encoded each; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, names = _word_memo(path)
+        encode, names = encoder(path)
         size = np.array([len(x) + 1 for x in names], np.int64)
         begin = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(x + b" " for x in names), np.uint8)
         for batch in batches:
             for part in slices(batch, column, 2_000_000):
-                ids, ends = word_ids(memo, part.column(column))
+                lists = encode([x or "" for x in part.column(column).to_pylist()])
+                ids, ends = np.concatenate(lists).astype(np.int64), np.cumsum([0, *map(len, lists)])
                 text = gather(flat, begin[ids], size[ids]).tobytes()
                 at = np.concatenate(([0], np.cumsum(size[ids])))[ends]
                 raw = ids.astype("<u4").tobytes()
@@ -262,7 +361,7 @@ def pack_documents(df: DataFrame, path: str, column: str = "text", key: str = "d
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, _ = _word_memo(path)
+        memo = encoder(path)[0].memo
         base, group = TaskContext.get().partitionId() << 36, 0
         keys: list[pa.Array] = []
         ids: list[np.ndarray] = []
