@@ -66,3 +66,20 @@ def test_hot_payload_and_empty_table(spark):
     assert len(rows) == 3000 and sum(r.record_type == "revisit" for r in rows) == 999
     assert {r.refers_to for r in rows if r.record_type == "revisit"} == {0}
     assert W.archive(df.limit(0)).collect() == []
+
+
+def test_a_stream_that_is_cut_off_is_an_error():
+    import gzip
+    import io
+
+    import pytest
+
+    from vellumist.llm.warc import inflate
+
+    raw = gzip.compress(b"one" * 1000) + gzip.compress(b"two")
+    assert b"".join(inflate(io.BytesIO(raw))) == b"one" * 1000 + b"two" and b"".join(inflate(io.BytesIO(b""))) == b""
+    for cut in (1, 4, 8, 12):
+        with pytest.raises(ValueError):
+            list(inflate(io.BytesIO(raw[:-cut])))
+    with pytest.raises(Exception):
+        list(inflate(io.BytesIO(raw[:-6] + b"\0\0" + raw[-4:])))

@@ -1,6 +1,6 @@
 """8. Language ID: a bidirectional gated recurrent network over bytes.
 
-It is trained in numpy by backpropagation through time on a bounded sample of labelled documents, labels every byte position of a
+It is trained in numpy by backpropagation through time on a bounded sample of windows of all labelled documents, labels every byte position of a
 text, and pools the positions' probabilities over the document. Texts are cut into windows of WINDOW bytes that run side by side.
 """
 
@@ -13,12 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import buffers, slices
+from .text import buffers, mix, slices
 
 HIDDEN = 16
 WINDOW = 48
-SAMPLE = 400  # labelled documents for each language, about, that the classifier is fitted on
-LANGUAGES = 200  # languages, the most frequent ones, that it learns at most
+SAMPLE = 4800  # windows for each language, about, that the classifier is fitted on, drawn from anywhere in its labelled texts
 STEPS, BATCH, RATE = 240, 256, 0.02
 UNKNOWN = "und"
 MIN_SCORE = 0.4  # a document below it is rejected
@@ -166,39 +165,40 @@ def held_out(key: str = "doc_id") -> F.Column:
 
 
 def train(df: DataFrame, column: str = "text", key: str = "doc_id", lang: str = "lang") -> Network | None:
-    """The network fitted on about SAMPLE documents of each language that has a label; None without any.
+    """The network fitted on about SAMPLE windows of each language that has a label, however few its documents; None without any.
 
-    The sample is a hash of the key under a threshold for each language, so frequent languages don't crowd out others, and it is
-    bounded: SAMPLE * 2 documents a language, of which a few windows each come to the driver.
+    Whether a window of a text is in the sample is a hash of the row's key and its number, under a threshold for each language, so
+    that each part of each text has the same chance and frequent languages don't crowd out others. The sample is bounded: SAMPLE * 2
+    windows for each language, in all, come to the driver.
     """
     labelled = df.where(F.col(lang).isNotNull() & F.col(column).isNotNull() & ~held_out(key))
-    counts = sorted(labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect(), key=lambda r: r[lang])
+    length = F.ceil(F.octet_length(column) / WINDOW)
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang).agg(F.sum(length)).collect() if r[1]}  # a row for each language
     if not counts:
         return None
-    names = [r[lang] for r in counts]
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r[lang], min(1.0, SAMPLE / r["count"]))))
-    draw = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) / (1 << 30)
-    piece, most = WINDOW * 4, 3
+    names = sorted(counts)
+    share = {x: min(1.0, SAMPLE / n) for x, n in counts.items()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column):
                 data, offsets = buffers(part.column(column))
-                pieces, owner = [], []
-                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                    for k in range(min(most, -(-(b - a) // piece))):
-                        s = a + (b - a) * k // most if b - a > most * piece else a + k * piece
-                        pieces.append(data[s : min(b, s + piece)].tobytes())
-                        owner.append(i)
-                yield pa.RecordBatch.from_arrays([part.column(lang).take(pa.array(owner, pa.int64())), part.column("_draw").take(pa.array(owner, pa.int64())), pa.array(pieces, pa.binary())], [lang, "_draw", "piece"])
-
-    chosen = labelled.select(lang, column, draw.alias("_draw")).where(F.col("_draw") < share[F.col(lang)])
-    bound = SAMPLE * 2 * most * len(names)
-    rows = chosen.mapInArrow(cut, f"{lang} string, _draw double, piece binary").orderBy("_draw", "piece").limit(bound).toArrow()
-    pieces = pa.array([x.decode("latin-1") for x in rows.column("piece").to_pylist()], pa.string())
+                count = -(-np.diff(offsets) // WINDOW)
+                owner = np.repeat(np.arange(len(count)), count)
+                k = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                seed = part.column("_seed").to_numpy(False).view(np.uint64)
+                draw = (mix(seed[owner] ^ mix(k.astype(np.uint64))) >> np.uint64(11)) / 2.0**53
+                draw /= np.array([share.get(x, 1.0) for x in part.column(lang).to_pylist()])[owner]
+                at = np.flatnonzero(draw < 1)
+                begin = offsets[owner[at]] + k[at] * WINDOW
+                pieces = [data[a:b].tobytes() for a, b in zip(begin, np.minimum(begin + WINDOW, offsets[owner[at] + 1]))]
+                yield pa.RecordBatch.from_arrays([part.column(lang).take(pa.array(owner[at])), pa.array(draw[at]), pa.array(pieces, pa.binary())], [lang, "_draw", "piece"])
+
+    chosen = labelled.select(lang, column, F.xxhash64(key, F.lit(7)).alias("_seed"))
+    rows = chosen.mapInArrow(cut, f"{lang} string, _draw double, piece binary").orderBy("_draw", "piece").limit(SAMPLE * 2 * len(names)).toArrow()
     at = {n: k for k, n in enumerate(names)}
-    label = np.array([at[x] for x in rows.column(lang).to_pylist()])
-    lens = np.array([len(x) for x in pieces.to_pylist()])
+    label = np.array([at[x] for x in rows.column(lang).to_pylist()], np.int64)
+    lens = np.array([len(x) for x in rows.column("piece").to_pylist()], np.int64)
     data = np.frombuffer(b"".join(rows.column("piece").to_pylist()), np.uint8)
     grid, owner = windows(data, np.concatenate(([0], np.cumsum(lens))))
     if not len(grid):
@@ -231,7 +231,8 @@ def _predict(part: pa.RecordBatch, column: str, network: Network | None) -> tupl
 def identify(df: DataFrame, column: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """Language and score of each whole text: `und` and 0 for one that is null or has no letter, or if nothing was labelled.
 
-    Only ``column`` is an input of a prediction. Repeated rows are predicted each. No shuffle after the fit.
+    Only ``column`` is an input of a prediction. Texts of any length are labelled whole, window by window. Of languages with equal
+    probabilities the first by name is predicted. Repeated rows are predicted each. No shuffle after the fit.
     """
     network = train(df, column, key, lang)
 

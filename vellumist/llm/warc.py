@@ -64,19 +64,21 @@ def _page(name: str | None) -> int | None:
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, a chunk at a time."""
-    z = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or more members, a chunk at a time. A member that is cut off, in its trailer too, is an error, as
+    is a wrong checksum."""
+    z, begun = zlib.decompressobj(31), False
     while chunk := stream.read(_CHUNK):
         while chunk:
+            begun = True
             if out := z.decompress(chunk):
                 yield out
             chunk = z.unused_data
             if z.eof:
-                z = zlib.decompressobj(31)
+                z, begun = zlib.decompressobj(31), False
             else:
                 break
-    if out := z.flush():
-        yield out
+    if begun:
+        raise ValueError("the file ends within a gzip member")
 
 
 def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
