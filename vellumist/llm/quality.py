@@ -287,8 +287,7 @@ def _scored(docs: DataFrame, model: Model, column: str, fn: Callable, schema) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in blocks(batches, column, BLOCK_BYTES):
             data, offsets = buffers(rows.column(column))
-            runs = ngrams(data, offsets)
-            keys = np.unique(runs)
+            keys, at = ranked(ngrams(data, offsets))
             hashes = mix(keys)
             by = np.argsort(hashes)
             answers = read(block)
@@ -298,7 +297,7 @@ def _scored(docs: DataFrame, model: Model, column: str, fn: Callable, schema) ->
             logs[by] = answers
             total, some = np.zeros(rows.num_rows), np.flatnonzero(np.diff(offsets))
             if len(some):  # a text's sum is the same wherever it lies
-                total[some] = np.add.reduceat(logs[np.searchsorted(keys, runs)].astype(np.float64), offsets[some])
+                total[some] = np.add.reduceat(logs[at].astype(np.float64), offsets[some])
             counts = base_counts(data, offsets)
             real = real_words(data, offsets)
             score = np.where(real > 0, -total / np.maximum(real, 1), np.nan)
