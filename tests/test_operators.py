@@ -125,8 +125,37 @@ def test_tasks(spark):
     items = spark.createDataFrame([([("ab",), ("abcd",)],), ([("a",)],)], "x array<struct<text: string>>")
     assert [r.n for r in items.select(F.size(tasks.eligible(F.col("x"))).alias("n")).collect()] == [1, 1]
     assert spark.range(1).select(tasks.type_list(F.lit("[lines, box]")).alias("t")).first()["t"] == ["lines", "box"]
-    s = assignment.soft_matches(spark.createDataFrame([("a", ["color", "x"], ["colour", "y", "x"])], "k string, e array<string>, p array<string>"), "k", "e", "p", 0.8).first()
-    assert (s.matched, s.n_expected, s.n_predicted) == (2, 2, 3)
+    def soft(e, p, least):
+        used, total = set(), 0.0
+        for g in e:
+            best, at = 0.0, -1
+            for j, x in enumerate(p):
+                if j not in used and (r := ratio(g, x)) > best:
+                    best, at = r, j
+            if best >= least and at >= 0:
+                used.add(at)
+                total += best
+        r, q = (total / len(x) if x else 0.0 for x in (e, p))
+        return q, r, 2 * q * r / (q + r) if q + r else 0.0
+
+    def ratio(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return 2 * t[-1][-1] / (len(a) + len(b))
+
+    import random
+
+    r = random.Random(3)
+    token = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 12)))
+    cases = [(["color", "x"], ["colour", "y", "x"]), ([], ["a"]), (["a"], []), ([], [])]
+    cases += [([token() for _ in range(r.randint(0, 12))], [token() for _ in range(r.randint(0, 12))]) for _ in range(200)]
+    for least in (0.85, 0.6):
+        df = spark.createDataFrame([(i, e, p) for i, (e, p) in enumerate(cases)], "k int, e array<string>, p array<string>")
+        for x in assignment.soft_matches(df, "k", "e", "p", least).collect():
+            assert np.allclose((x.precision, x.recall, x.f1), soft(*cases[x.k], least)), cases[x.k]
+    assert abs(assignment.token_ratio("color", "colour") - 10 / 11) < 1e-12
 
 
 def test_answers_and_empty_pages(spark):

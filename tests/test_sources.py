@@ -72,6 +72,25 @@ def test_stream_takes_new_shards(spark, folder, tmp_path):
     q.stop()
 
 
+def test_stream_reads_each_shard_once_over_a_restart(spark, tmp_path):
+    for name in ("m", "n", "o"):
+        shard(tmp_path / f"{name}.tar", [(f"{name}.json", b"{}")])
+    out = lambda: sorted(r.shard for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    def run():
+        s = feed.stream(spark, f"{tmp_path}/*.tar", 2)
+        q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+
+    run()
+    assert out() == ["m.tar", "n.tar", "o.tar"]
+    shard(tmp_path / "a.tar", [("a.json", b"{}")])  # sorts before all that were read
+    shard(tmp_path / "z.tar", [("z.json", b"{}")])
+    run()
+    assert out() == ["a.tar", "m.tar", "n.tar", "o.tar", "z.tar"]
+
+
 def test_tolerant(spark, folder):
     good, bad = feed.tolerant(spark.read.format("tarshards").load(f"{folder}/*.tar"))
     assert {r.key for r in good.collect()} == {"x/1", "2"}

@@ -108,3 +108,39 @@ def boxes_in_json(c: Column) -> Column:
     lists = F.from_json(c, "array<array<bigint>>")
     objects = F.filter(F.transform(F.from_json(c, schema), lambda o: F.coalesce(*(o[k] for k in keys))), lambda b: F.size(b) == 4)
     return F.when(c.rlike(r"^\s*\[\s*\["), F.filter(lists, lambda b: F.size(b) == 4)).when(c.rlike(r"^\s*\[\s*\{"), objects)
+
+
+def iou_unclamped(a: tuple, b: tuple) -> Column:
+    """IoU in single precision whose areas are products of the sides as they are, so that a box given backwards has a negative one."""
+    side = lambda t: (t[2] - t[0]).cast("float") * (t[3] - t[1]).cast("float")
+    i = intersection(a, b).cast("float")
+    union = side(a) + side(b) - i
+    return F.when(union > 0, (i / union).cast("float")).otherwise(F.lit(0.0).cast("float"))
+
+
+def rotated_size(w: Column, h: Column, degrees: Column) -> list[Column]:
+    """Width and height of the upright box round a rotated one."""
+    s, c = F.abs(F.sin(F.radians(degrees))), F.abs(F.cos(F.radians(degrees)))
+    return [(w * c + h * s), (w * s + h * c)]
+
+
+def placed(cx: Column, cy: Column, w: Column, h: Column) -> list[Column]:
+    """The box of a size round a centre."""
+    return [cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2]
+
+
+def quad_to_box(xs: list[Column], ys: list[Column], width: Column, height: Column) -> list[Column]:
+    """A quad (top left, top right, bottom right, bottom left) as a box: x by least and greatest, y by the means of its top and bottom
+    edge; relative to the page, held within 0 and 1, three places."""
+    box = [F.least(*xs) / width, (ys[0] + ys[1]) / 2 / height, F.greatest(*xs) / width, (ys[2] + ys[3]) / 2 / height]
+    return [F.round(clamp01(c), 3) for c in box]
+
+
+def quad_relative(xs: list[Column], ys: list[Column], width: Column, height: Column) -> Column:
+    """A quad's corners relative to the page, held within 0 and 1, three places: eight numbers in order."""
+    return F.array(*(F.round(clamp01(c), 3) for x, y in zip(xs, ys) for c in (x / width, y / height)))
+
+
+def round_down(x: Column, multiple: Column) -> Column:
+    """The greatest multiple not above x; a multiple below 1 counts as 1."""
+    return x - x % F.greatest(F.lit(1), multiple)

@@ -46,17 +46,22 @@ def normalize(form: str):
     return run
 
 
-def distance_rate(expected: Column, predicted: Column) -> Column:
-    """Edit distance over the longer length; 0 for two empty texts, 1 where only the expected one is empty."""
+def distance_rate(expected: Column, predicted: Column, distance: Column | None = None) -> Column:
+    """Edit distance over the longer length; 0 for two empty texts, 1 where only the expected one is empty.
+
+    ``distance`` is their edit distance where a plan has it as a column already, so that it is computed once.
+    """
+    distance = F.levenshtein(expected, predicted) if distance is None else distance
     longest = F.greatest(F.length(expected), F.length(predicted))
-    return F.when(longest == 0, 0.0).when(expected == predicted, 0.0).when(F.length(expected) == 0, 1.0).otherwise(F.levenshtein(expected, predicted) / longest)
+    return F.when(longest == 0, 0.0).when(expected == predicted, 0.0).when(F.length(expected) == 0, 1.0).otherwise(distance / longest)
 
 
-def anls(expected: Column, predicted: Column, threshold: float = 0.5) -> Column:
+def anls(expected: Column, predicted: Column, threshold: float = 0.5, distance: Column | None = None) -> Column:
     """1 - normalized distance where that distance is below the threshold, else 0."""
     a, b = F.length(expected), F.length(predicted)
-    nl = F.levenshtein(expected, predicted) / F.greatest(a, b, F.lit(1))
-    return F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0).when(nl < threshold, 1 - nl).otherwise(0.0)
+    distance = F.levenshtein(expected, predicted) if distance is None else distance
+    near = F.filter(F.array(distance / F.greatest(a, b, F.lit(1))), lambda nl: nl < threshold)  # the distance is written once
+    return F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0).otherwise(F.coalesce(1 - F.get(near, F.lit(0)), F.lit(0.0)))
 
 
 def _coded(ws: Column, vocabulary: Column) -> Column:
@@ -108,11 +113,11 @@ def looks_markdown(c: Column) -> Column:
     return sum((x.rlike(s).cast("int") for s in signs[1:]), x.rlike(signs[0]).cast("int")) >= 2
 
 
-TOKEN = r"[A-Za-z]+(?:['-][A-Za-z]+)*|[0-9]+(?:[.,][0-9]+)*"
+TOKEN = r"\p{L}+(?:['\u2019-]\p{L}+)*|\p{N}+(?:[.,]\p{N}+)*"
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case words and numbers of ASCII letters and digits."""
+    """Lower-case words and numbers of any script: letters with apostrophes and hyphens between, digits with points and commas between."""
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 

@@ -65,32 +65,55 @@ def assign(pairs: DataFrame, threshold: float, page: str = "page_id") -> DataFra
     return marked.where("lone").drop("lone").unionByName(contested)
 
 
-def soft_matches(df: DataFrame, key: str, expected: str, predicted: str, least: float = 0.85) -> DataFrame:
-    """(key, matched, n_expected, n_predicted): expected tokens in order each take the unused predicted token that is most alike."""
+def token_ratio(a: str, b: str) -> float:
+    """Twice the longest common subsequence over both lengths: 1 for equal tokens; columns of the table are bits of one number."""
+    if a == b:
+        return 1.0
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return 2 * (len(a) - row.bit_count()) / max(1, len(a) + len(b))
+
 
-    def ratio(a: str, b: str) -> float:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            left, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-        return 1 - row[-1] / max(len(a), len(b), 1)
+def soft_matches(df: DataFrame, key: str, expected: str, predicted: str, least: float = 0.85) -> DataFrame:
+    """(key, precision, recall, f1): expected tokens in order each take the unused predicted token that is most alike, the first of
+    equals, if their ratio is ``least`` or more; the ratios are added up and set against each side's number of tokens."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[str, str], float] = {}
         for pdf in frames:
             out = []
             for k, e, p in zip(pdf[key], pdf[expected], pdf[predicted]):
-                free, hits = list(p), 0
+                places: dict[str, list[int]] = {}
+                for i in range(len(p) - 1, -1, -1):
+                    places.setdefault(p[i], []).append(i)
+                total = 0.0
                 for t in e:
-                    if t in free:
-                        free.remove(t)
-                        hits += 1
-                        continue
-                    best = max(((ratio(t, x), -i) for i, x in enumerate(free)), default=(0, 0))
-                    if best[0] >= least:
-                        free.pop(-best[1])
-                        hits += 1
-                out.append((k, hits, len(e), len(p)))
-            yield pd.DataFrame(out, columns=[key, "matched", "n_expected", "n_predicted"])
-
-    return df.select(key, expected, predicted).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, matched long, n_expected long, n_predicted long")
+                    if t in places:
+                        best, token = 1.0, t
+                    else:
+                        best, token, first = 0.0, None, 0
+                        for x, free in places.items():
+                            if 2 * min(len(t), len(x)) < least * (len(t) + len(x)):
+                                continue
+                            if (t, x) not in known:
+                                if len(known) > 500_000:
+                                    known.clear()
+                                known[t, x] = token_ratio(t, x)
+                            r = known[t, x]
+                            if r > best or r == best and free[-1] < first:
+                                best, token, first = r, x, free[-1]
+                    if token is not None and best >= least:
+                        total += best
+                        places[token].pop()
+                        if not places[token]:
+                            del places[token]
+                recall, precision = total / len(e) if len(e) else 0.0, total / len(p) if len(p) else 0.0
+                out.append((k, precision, recall, 2 * precision * recall / (precision + recall) if total else 0.0))
+            yield pd.DataFrame(out, columns=[key, "precision", "recall", "f1"])
+
+    return df.select(key, expected, predicted).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, precision double, recall double, f1 double")

@@ -114,8 +114,12 @@ def poly_to_aabb(spark, d):
 
 
 def rel_to_px(spark, d):
-    r = [(F.col(c) / 4096.0) for c in ("x1", "y1")] + [(F.col("x2") - F.col("x1")) / 4096.0, (F.col("y2") - F.col("y1")) / 4096.0]
-    return words(spark, d).where("x2 <= 4096 and y2 <= 4096").select("page_id", "idx", *G.from_xywh(*r, F.lit(1700), F.lit(2200)))
+    """Every word relative to its page's sheet, whose sides are the next powers of two, as pixels of a page of 1700 x 2200."""
+    page = Window.partitionBy("page_id")
+    side = lambda c: F.pow(F.lit(2.0), F.length(F.bin(F.max(c).over(page) - 1)))
+    w = words(spark, d).withColumn("w", side("x2")).withColumn("h", side("y2"))
+    r = [F.col("x1") / F.col("w"), F.col("y1") / F.col("h"), (F.col("x2") - F.col("x1")) / F.col("w"), (F.col("y2") - F.col("y1")) / F.col("h")]
+    return w.select("page_id", "idx", *G.from_xywh(*r, F.lit(1700), F.lit(2200)))
 
 
 def vertices_order(spark, d):
@@ -187,7 +191,7 @@ y AS (SELECT max(p) OVER (ORDER BY score DESC ROWS BETWEEN CURRENT ROW AND UNBOU
     "box_regex_extract": f"WITH {_BOX_TEXTS} SELECT page_id, line, CASE WHEN line % 2 = 0 THEN 2 ELSE 1 END AS n, ((x1 + y1 + x2 + y2) * CASE WHEN line % 2 = 0 THEN 2 ELSE 1 END)::BIGINT AS total FROM bt",
     "json_box_extract": f"WITH {_BOX_TEXTS} SELECT page_id, line, json_extract(t, '$[0].bbox[0]')::BIGINT AS x1, json_extract(t, '$[0].bbox[3]')::BIGINT AS y2 FROM bt WHERE line % 2 = 1",
     "poly_to_aabb": f"WITH {WORDS} SELECT page_id, idx, least(x1, x2) AS hx1, y1 AS hy1, x2 + 3 AS hx2, y2 + 2 AS hy2, x1 + 3 AS cx1, y1 AS cy1, x2 AS cx2, y2 + 2 AS cy2 FROM words",
-    "rel_to_px": f"WITH {WORDS} SELECT page_id, idx, trunc(round(x1 / 4096.0::DOUBLE, 3) * 1700)::INT AS x1, trunc(round(y1 / 4096.0::DOUBLE, 3) * 2200)::INT AS y1, trunc(round(x1 / 4096.0::DOUBLE + (x2 - x1) / 4096.0::DOUBLE, 3) * 1700)::INT AS x2, trunc(round(y1 / 4096.0::DOUBLE + (y2 - y1) / 4096.0::DOUBLE, 3) * 2200)::INT AS y2 FROM words WHERE x2 <= 4096 AND y2 <= 4096",
+    "rel_to_px": f"WITH {WORDS}, s AS (SELECT *, pow(2.0::DOUBLE, length(bin(max(x2) OVER p - 1))) AS w, pow(2.0::DOUBLE, length(bin(max(y2) OVER p - 1))) AS h FROM words WINDOW p AS (PARTITION BY page_id)) SELECT page_id, idx, trunc(round(x1 / w, 3) * 1700)::INT AS x1, trunc(round(y1 / h, 3) * 2200)::INT AS y1, trunc(round(x1 / w + (x2 - x1) / w, 3) * 1700)::INT AS x2, trunc(round(y1 / h + (y2 - y1) / h, 3) * 2200)::INT AS y2 FROM s",
     "vertices_order": f"WITH {WORDS} SELECT page_id, idx, " + ", ".join(f"{c}::DOUBLE AS {n}" for c, n in zip(("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2"), ("x1", "y1", "x2", "y2", "x3", "y3", "x4", "y4"))) + " FROM words",
     "box_scale": f"WITH {WORDS} SELECT page_id, idx, " + ", ".join(f"trunc({c} * 0.36::DOUBLE)::INT AS s{c}" for c in ("x1", "y1", "x2", "y2")) + ", " + ", ".join(f"round_even(({c} - 4) * 150 / 72.0::DOUBLE, 0)::INT AS p{c}" for c in ("x1", "y1", "x2", "y2")) + " FROM words",
     "norm_clamp": f"WITH {WORDS} SELECT page_id, idx, " + ", ".join(f"round(greatest(0.0, least(1.0, ({c} - 100) / 2048.0::DOUBLE)), 6) AS n{c}" for c in ("x1", "y1", "x2", "y2")) + ", greatest(0, least(999, x1))::INT AS x1, greatest(0, least(799, y1))::INT AS y1, greatest(greatest(0, least(999, x1)) + 1, least(999, x2))::INT AS x2, greatest(greatest(0, least(799, y1)) + 1, least(799, y2))::INT AS y2 FROM words",

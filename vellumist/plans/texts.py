@@ -28,18 +28,23 @@ def text_wer(spark, d):
 
 
 def text_reading_metrics(spark, d):
-    c = table(spark, d, "conversations").where("text is not null")
+    c = table(spark, d, "conversations")
     return c.select(*KEYS, T.reading_metrics(F.col("text"), F.replace("text", F.lit("th"), F.lit("ht"))).alias("m")).select(*KEYS, "m.*")
 
 
 def text_summary_by_role(spark, d):
     """Macro means and medians by the role that speaks."""
-    m = turns(spark, d).select("role", (F.col("expected") == F.col("predicted")).cast("double").alias("em"), T.distance_rate(F.col("expected"), F.col("predicted")).alias("cer"), T.anls(F.col("expected"), F.col("predicted")).alias("anls"))
+    e, p, distance = F.col("expected"), F.col("predicted"), F.col("distance")
+    m = turns(spark, d).withColumn("distance", F.levenshtein(e, p)).select("role", (e == p).cast("double").alias("em"), T.distance_rate(e, p, distance).alias("cer"), T.anls(e, p, distance=distance).alias("anls"))
     return m.groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg("em"), 6).alias("em"), F.round(F.avg("cer"), 6).alias("mean_cer"), F.round(F.median("cer"), 6).alias("median_cer"), F.round(F.avg("anls"), 6).alias("mean_anls")).orderBy("role")
 
 
-_CER = "CASE WHEN greatest(length(expected), length(predicted)) = 0 THEN 0.0 WHEN length(expected) = 0 THEN 1.0 ELSE levenshtein(expected, predicted) / greatest(length(expected), length(predicted)) END"
-_ANLS = "CASE WHEN length(expected) = 0 AND length(predicted) = 0 THEN 1.0 WHEN length(expected) = 0 OR length(predicted) = 0 THEN 0.0 WHEN levenshtein(expected, predicted) / greatest(length(expected), length(predicted)) < 0.5 THEN 1 - levenshtein(expected, predicted) / greatest(length(expected), length(predicted)) ELSE 0.0 END"
+# DuckDB's distance counts bytes: characters beyond ASCII become control characters first, one for each
+_ABROAD = "ÄÖÜäöüßÇçÉéÊêÈèÍíÑñÓóÚúÁáàâ"
+_PLAIN = " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 32), 127][: len(_ABROAD)])
+_DISTANCE = f"levenshtein(translate(expected, '{_ABROAD}', {_PLAIN}), translate(predicted, '{_ABROAD}', {_PLAIN}))"
+_CER = f"CASE WHEN greatest(length(expected), length(predicted)) = 0 THEN 0.0 WHEN length(expected) = 0 THEN 1.0 ELSE {_DISTANCE} / greatest(length(expected), length(predicted)) END"
+_ANLS = f"CASE WHEN length(expected) = 0 AND length(predicted) = 0 THEN 1.0 WHEN length(expected) = 0 OR length(predicted) = 0 THEN 0.0 WHEN {_DISTANCE} / greatest(length(expected), length(predicted)) < 0.5 THEN 1 - {_DISTANCE} / greatest(length(expected), length(predicted)) ELSE 0.0 END"
 
 
 def text_clean(spark, d):
@@ -118,7 +123,7 @@ def rouge_l(spark, d):
 
 def soft_token_f1(spark, d):
     t = turns(spark, d).select(F.concat_ws("/", *KEYS).alias("id"), T.tokens(F.col("expected")).alias("e"), T.tokens(F.col("predicted")).alias("p"))
-    return assignment.soft_matches(t, "id", "e", "p")
+    return assignment.soft_matches(t, "id", "e", "p").select("id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 def conversation_prompt_pairs(spark, d):
@@ -134,7 +139,7 @@ def latex_fixups(spark, d):
 
 QUERIES = {f.__name__: f for f in (text_em, text_cer, text_anls, text_wer, text_reading_metrics, text_summary_by_role, text_clean, text_nfc, text_nfkc, text_cjk, placeholder_mark, placeholder_drop, predicted_text_extract, props_json, html_strip, html_md_classify, token_multiset_f1, token_counts, ned, qa_accuracy, rouge_l, soft_token_f1, conversation_prompt_pairs, latex_fixups)}
 
-_TOKEN = r"[A-Za-z]+(?:[''-][A-Za-z]+)*|[0-9]+(?:[.,][0-9]+)*"
+_TOKEN = r"\p{L}+(?:[''’-]\p{L}+)*|\p{N}+(?:[.,]\p{N}+)*"
 _HTML = r"(?i)</?(html|body|div|p|span|table|tr|td|th|ul|ol|li|br|h[1-6]|a|img|script|style)\b[^>]*>"
 _MD = " + ".join(f"regexp_matches(t, '{p}')::INT" for p in (r"(?m)^#{1,6} ", r"(?m)^\s*[-*+] \S", r"(?m)^\s*[0-9]+\. ", r"\*\*[^*\n]+\*\*", r"\[[^\]\n]+\]\([^)\n]+\)", r"(?m)^\|.*\|$", r"```"))
 _STRIP = r"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"

@@ -86,16 +86,16 @@ SIZES = """sizes AS (SELECT page_id, sum(e)::BIGINT AS n_expected, sum(p)::BIGIN
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample (conv_id, turn), role, question, expected, predicted: the turns' ASCII text, and a worsened copy as the prediction."""
+    """sample (conv_id, turn), role, question, expected, predicted: the turns' whole text, and a worsened copy as the prediction."""
     c = table(spark, sf_dir, "conversations")
-    e = T.squeeze(T.ascii_only(F.col("text")))
+    e = T.squeeze(F.col("text"))
     p = F.replace(F.array_join(F.filter(F.split(e, " "), lambda w, i: F.pmod(i, F.lit(7)) != 6), " "), F.lit("th"), F.lit("ht"))
     question = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Where is {text} of "), "role")).otherwise(F.concat(F.lit("Read "), "role"))
     return c.select("conv_id", "turn", "role", question.alias("question"), e.alias("expected"), p.alias("predicted"))
 
 
 TURNS = r"""
-t0 AS (SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g')) AS expected FROM conversations),
+t0 AS (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS expected FROM conversations),
 turns AS (
   SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN 'Where is {text} of ' || role ELSE 'Read ' || role END AS question, expected,
     replace(array_to_string(list_filter(string_split(expected, ' '), lambda w, i: (i - 1) % 7 <> 6), ' '), 'th', 'ht') AS predicted

@@ -65,26 +65,40 @@ class _Reader(DataSourceReader):
 
 
 class _Stream(DataSourceStreamReader):
-    """New shards in order of name; the offset is how many are done."""
+    """New shards in the order in which they got their names (a rename counts), then by path.
+
+    The offset is the time and path of the last one, so a shard is read once, wherever its name sorts. After a restart, the first batch
+    takes all that has come since; later ones keep to maxFilesPerTrigger.
+    """
 
     def __init__(self, options: dict):
         self.reader = _Reader(options)
         self.most = int(options.get("maxfilespertrigger", options.get("maxFilesPerTrigger", 0)) or 0)
-        self.done = 0
+        self.last: tuple[int, str] | None = None
+
+    def _found(self) -> list[tuple[int, str]]:
+        try:
+            return sorted((os.stat(p).st_ctime_ns, p) for p in expand(self.reader.path))
+        except FileNotFoundError:
+            return []
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"files": 0}
+        self.last = (0, "")  # only asked where there is no checkpoint
+        return {"time": 0, "path": ""}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        try:
-            n = len(expand(self.reader.path))
-        except FileNotFoundError:
-            n = 0
-        self.done = min(n, self.done + self.most) if self.most else n
-        return {"files": self.done}
+        new = [x for x in self._found() if self.last is None or x > self.last]
+        if self.most and self.last is not None:
+            new = new[: self.most]
+        if new:
+            self.last = new[-1]
+        time, path = self.last or (0, "")
+        return {"time": time, "path": path}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Shard(p) for p in expand(self.reader.path)[start["files"] : end["files"]]] if end["files"] > start["files"] else []
+        low, high = (start["time"], start["path"]), (end["time"], end["path"])
+        self.last = max(self.last or high, high)
+        return [_Shard(p) for t, p in self._found() if low < (t, p) <= high]
 
     def read(self, partition: _Shard) -> Iterator[tuple]:
         yield from self.reader.read(partition)
