@@ -150,7 +150,10 @@ def block_reader(path: str, parts: int) -> Callable[[int], list[bytes]]:
 def ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct values, the place of each value among them)."""
     order = np.argsort(h)
-    heads = distinct(h[order])
-    inverse = np.empty(len(h), np.int64)
-    inverse[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(h))))
-    return h[order[heads]], inverse
+    in_order = h[order]
+    heads = distinct(in_order)
+    keys = in_order[heads]
+    del in_order
+    inverse = np.empty(len(h), np.int32 if len(h) < 1 << 31 else np.int64)
+    inverse[order] = np.repeat(np.arange(len(heads), dtype=inverse.dtype), np.diff(np.append(heads, len(h))))
+    return keys, inverse

@@ -3,7 +3,7 @@
 Its softmax is factored by classes: a class is drawn by a bias and hashed features of the history, the word before, the two words before
 (n-grams), and the second and third word before by themselves (skips); the most frequent words are classes of their own, and the others
 fall into classes by their endings, within which the feature is the word itself by its count, add-one for words not met. On this
-distribution m lie exact features of words: every pair (v, w) and triple (u, v, w) of the corpus by a 64-bit key. Their log weights are
+distribution m lie exact features of words: every pair (v, w) and triple (u, v, w) of the corpus by a 56-bit key. Their log weights are
 set by counts, log(1 + c(v, w) / (PAIR * m(w))), since the normaliser is then known without a sum over words, 1 + c(v) / PAIR; the
 triple's weight is formed in the same way on what the pair gives. What the model gathers of words, pairs and triples grows with the
 input; it lies in the shared folder and is asked for block by block (see ``counts``).
@@ -38,7 +38,7 @@ SCORED = 4096
 PARTS = (0, 1, 5, 16)  # bounds of the parts in sixteenths: the first are small, for a table to go on from
 PAIR, TRIPLE = 200.0, 2.0  # so many tokens of a context weigh as much as what is known without it
 _CONTEXT = 255  # the group of pairs' and triples' keys; words have their ending
-BLOCK_BYTES = 8_000_000  # text in a block whose words and contexts are asked for together
+BLOCK_BYTES = 4_000_000  # text in a block whose words and contexts are asked for together
 _END = np.uint64(0x0123456789ABCDEF)  # the end token's hash and the key that no word has but by chance
 _START = np.uint64(0xFEDCBA9876543210)
 _TYPE = np.array([0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1) for k in range(FEATURES)], np.uint64)
@@ -79,7 +79,8 @@ class Tokens:
     def contexts(self) -> np.ndarray:
         """Keys of each token's pair and triple, in two rows."""
         one, two = self.back(1), self.back(2)
-        return np.stack([mix(mix(one + _TYPE[0]) + self.h), mix(mix(mix(two + _TYPE[1]) + one) + self.h)])
+        keys = np.stack([mix(mix(one + _TYPE[0]) + self.h), mix(mix(mix(two + _TYPE[1]) + one) + self.h)])
+        return keys & ~np.uint64(255)  # a byte less to send for each
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(distinct keys of words, pairs and triples, rising; the places of each token's word, pair and triple among them)."""
@@ -246,7 +247,7 @@ def score_texts(df: DataFrame, column: str = "text", key: str = "doc_id") -> Dat
         group[at[: len(t.h)]] = t.ending
         return keys, np.bincount(at[np.tile(yes, 3)], minlength=len(keys)), group
 
-    answers = Answers(docs, of_block, top=OWN, block_bytes=BLOCK_BYTES, shard_bytes=BLOCK_BYTES // 2, top_below=_CONTEXT)
+    answers = Answers(docs, of_block, top=OWN, block_bytes=BLOCK_BYTES, shard_bytes=BLOCK_BYTES, top_below=_CONTEXT)
     answers.groups.pop(_CONTEXT, None)
     n, v = (sum(g[k] for g in answers.groups.values()) for k in (0, 1))
     top = sorted((np.uint64(k & (2**64 - 1)), c, g) for k, c, g in answers.top)

@@ -28,7 +28,7 @@ STEADY_WORDS = 400  # from so many words on, longer texts vary no less
 BIN = 200  # histogram bins for each unit of log10 perplexity
 
 ORDER = 5  # bytes of a run
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 HELD = 4_000_000  # runs that a task holds before it sends its counts on
 
 
