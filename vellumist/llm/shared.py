@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import buffers, slices
+from .text import buffers, slices, trim
 
 BLOCK_BYTES = 16_000_000
 _MADE: dict[str, list[str]] = {}  # paths by application
@@ -136,6 +136,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                     held, size, serial = [], 0, serial + 1
     if held:
         yield out()
+    held = []
+    trim()
 
 
 def over_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", limit: int = 4_000_000) -> DataFrame:

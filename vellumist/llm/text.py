@@ -5,6 +5,7 @@ Words are maximal runs of bytes other than space and \\x09-\\x0D. A null text co
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -46,6 +47,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a Python worker lives on between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library's
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000):
     """Consecutive parts of a batch with about ``limit`` bytes of text each (one longer text stays whole)."""
     n = batch.num_rows
@@ -57,6 +67,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 class Words:

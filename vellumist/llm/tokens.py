@@ -101,15 +101,11 @@ class TreeEncoder:
     def __init__(self, path: str, leaf: int = 1024):
         import json
 
-        from tokenizers import Tokenizer, models
-
-        self.t, self.leaf = tokenizer(path), leaf
+        self.t, self.leaf, self.path = tokenizer(path), leaf, path
         spec = json.load(open(path))
         model = spec["model"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         suffix = model.get("end_of_word_suffix") or ""
-        self.last = Tokenizer(models.BPE(model["vocab"], merges, end_of_word_suffix=suffix) if suffix else models.BPE(model["vocab"], merges))
-        self.inner = Tokenizer(models.BPE(model["vocab"], merges))
+        self.bare = None
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.plain = all(not (a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"]) for a in spec["added_tokens"])
@@ -228,7 +224,16 @@ class TreeEncoder:
         return ids
 
     def _tokens(self, symbols: list[str], ends: bool) -> list[list[int]]:
-        return [e.ids for e in (self.last if ends else self.inner).encode_batch_fast(symbols, add_special_tokens=False)]
+        if self.bare is None:  # only texts with long unsplit stretches need them
+            import json
+
+            from tokenizers import Tokenizer, models
+
+            model = json.load(open(self.path))["model"]
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+            end = {"end_of_word_suffix": self.suffix} if self.suffix else {}
+            self.bare = [Tokenizer(models.BPE(model["vocab"], merges, **kind)) for kind in ({}, end)]
+        return [e.ids for e in self.bare[ends].encode_batch_fast(symbols, add_special_tokens=False)]
 
     def word(self, symbols: str) -> list[int]:
         """ids of one pre-token; its leaves are one batch."""
