@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .counts import Answers, block_reader, folders, packed_keys, ranked, shard_edges, unpacked_keys, write_by_block
 from .shared import blocks, fresh, scan, shards, stored
-from .text import Words, buffers, distinct, hash_pieces, mix, slices
+from .text import Words, buffers, distinct, hash_pieces, mix, slices, trim
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 LOWER_SPREADS, UPPER_SPREADS = 6.5, 8.0  # of the distance between median and quartile
@@ -80,7 +80,7 @@ def _count_and_ask(docs: DataFrame, column: str, n_shards: int) -> DataFrame:
             share = own / copies
             asked: list[np.ndarray] = []
             done = 0
-            for part in slices(rows.take(pa.array(one)), column, 2_000_000):
+            for part in slices(rows.take(pa.array(one)), column, 1_000_000):
                 data, offsets = buffers(part.column(column))
                 k = ngrams(data, offsets)
                 order = np.argsort(k)
@@ -280,30 +280,42 @@ def real_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
+def _sums(rows: pa.Table, column: str, answers: np.ndarray) -> np.ndarray:
+    """The sum of each text's logarithms from the block's answers; of 1 MB of text at a time, the runs' places are all that is held."""
+    parts = []
+    for batch in rows.select([column]).combine_chunks().to_batches():
+        for part in slices(batch, column, 1_000_000):
+            data, offsets = buffers(part.column(column))
+            parts.append((offsets, *ranked(ngrams(data, offsets))))
+    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for _, k, _ in parts)]))
+    if len(answers) != len(keys):
+        raise RuntimeError("a block changed between two passes")
+    logs = np.empty(len(keys), np.float32)
+    logs[np.argsort(mix(keys))] = answers
+    out = [np.zeros(0)]
+    for offsets, k, at in parts:
+        total, some = np.zeros(len(offsets) - 1), np.flatnonzero(np.diff(offsets))
+        if len(some):  # a text's sum is the same wherever it lies
+            total[some] = np.add.reduceat(logs[np.searchsorted(keys, k)][at].astype(np.float64), offsets[some])
+        out.append(total)
+    return np.concatenate(out)
+
+
 def _scored(docs: DataFrame, model: Model, column: str, fn: Callable, schema) -> DataFrame:
     """``fn`` over parts of each block: (rows, counts, log10 perplexity a word, null without one) -> rows. No shuffle."""
     read = model.reader()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in blocks(batches, column, BLOCK_BYTES):
+            total = _sums(rows, column, read(block))
             data, offsets = buffers(rows.column(column))
-            keys, at = ranked(ngrams(data, offsets))
-            hashes = mix(keys)
-            by = np.argsort(hashes)
-            answers = read(block)
-            if len(answers) != len(keys):
-                raise RuntimeError("a block changed between two passes")
-            logs = np.empty(len(keys), np.float32)
-            logs[by] = answers
-            total, some = np.zeros(rows.num_rows), np.flatnonzero(np.diff(offsets))
-            if len(some):  # a text's sum is the same wherever it lies
-                total[some] = np.add.reduceat(logs[at].astype(np.float64), offsets[some])
             counts = base_counts(data, offsets)
             real = real_words(data, offsets)
             score = np.where(real > 0, -total / np.maximum(real, 1), np.nan)
             counts["text"] = text_hashes(data, offsets).view(np.int64)
             counts["failed"] = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
             yield from fn(rows, counts, score)
+            trim()
 
     return docs.mapInArrow(run, schema)
 
