@@ -125,6 +125,56 @@ def test_blocks_of_many_classes_are_tiled(spark, monkeypatch):
     assert all((r.n_similar, r.component_id) == (14, 0) for r in rows)
 
 
+def test_pairs_of_a_family_are_compared_once(spark, monkeypatch):
+    """Near copies share nearly all blocks, each block with others: their pairs are no more for it. Tiles give the same."""
+    words = ["w%d" % i for i in range(300)]
+    texts = [" ".join(words[: 5 * i] + ["own%d" % i] + words[5 * i + 1 :]) for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = S.describe(df).select("class", "n", "sketch")
+    for tile in (S.TILE, 20):
+        monkeypatch.setattr(S, "TILE", tile)
+        near = S._near(S._tasks(S._packed_keys(df, "text", 12, 90)), classes, 90)
+        assert near.select("a", "b").distinct().count() == 50 * 49 // 2
+        assert near.count() < 1.5 * 50 * 49 // 2
+        assert all((r.n_similar, r.component_id) == (49, 0) for r in S.similar(df).collect())
+
+
+def test_empty_blocks():
+    """Two sets that agree in empty blocks alone have a key in common; unrelated sets of a band have none."""
+    r = np.random.default_rng(7)
+    slots = lambda v, blocks: ((S.mix(v + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(int)
+    tested = set()
+    for n in [8, 9, 11, 15, 40, 300, 2000, 40_000] * 60:
+        if n == 40_000 and len(tested) > 40:
+            continue
+        a = r.integers(0, 2**63, n).astype(np.uint64)
+        blocks = int(S.band_blocks(S.bands(np.array([n]))[1][:1])[0])
+        if n < 100 and blocks > 2:  # so that some are empty
+            a = np.concatenate([a[slots(a, blocks) >= r.integers(1, min(4, blocks))], a[:0]])
+        count = np.bincount(slots(a, blocks), minlength=blocks)
+        g = int((count == 0).sum())
+        if not 0 < g < blocks:
+            continue
+        more, extra, b = r.integers(0, 2**63, 40 * blocks).astype(np.uint64), g - 1, [a]
+        place = slots(more, blocks)
+        for j in np.flatnonzero(count):
+            two = 1 + int(extra > 0 and r.random() < 0.5)
+            extra -= two - 1
+            b.append(more[place == j][:two])
+        b = np.concatenate(b)
+        same = np.searchsorted(S._LEAST, len(a), "right") - 1
+        home = np.searchsorted(S._LEAST, n, "right") - 1
+        if same != home or same not in S.bands(np.array([len(b)]))[1]:
+            continue
+        k, which = S.block_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert set(k[which == 0].tolist()) & set(k[which == 1].tolist())
+        tested.add((n, g))
+    assert len(tested) > 5
+    values = r.integers(0, 2**63, 3000 * 100).astype(np.uint64)
+    k, _ = S.block_keys(values, np.arange(0, len(values) + 1, 100))
+    assert len(np.unique(k)) == len(k)
+
+
 def test_filter_grows_with_the_ids(spark):
     from vellumist.llm.exchange import key_filter, passes
 

@@ -2,8 +2,8 @@
 
 A document's distinct word shingles are XORed into bits: each flips one, so the Hamming distance of two sketches never exceeds the
 symmetric difference of the sets. Sets of one size band that are at least THRESHOLD percent alike differ in at most d shingles;
-cut into d + 1 blocks, their sketches agree in one block at least, and equal blocks are what is joined. Candidates are held against
-whole sketches, then verified on the sets themselves. Equal sets are one class from the start, so copies are never paired.
+cut into d + 1 blocks, their sketches agree in one block at least, and equal blocks are what is joined; empty blocks, which sets
+share by chance, are joined by what their other blocks must then be like. Candidates are held against whole sketches, then verified on the sets themselves. Equal sets are one class from the start, so copies are never paired.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ from .shared import free_name, shards, stored
 from .text import Words, buffers, distinct, mix, shingles, slices
 
 WIDTH, THRESHOLD = 5, 90
-TILE = 128  # classes of one side of a task of pairs
+TILE = 512  # classes of one side of a task of pairs
+HOT = 32  # a block that more classes share is hot: those are joined into families, whose pairs are compared once
+FEW_BLOCKS, MOST_EMPTY = 64, 16  # sketches of fewer blocks name pairs of empty ones; empty blocks whose parities are keys
+COMPARED = 4_000_000  # bytes of sketches that are compared at a time
 _RATIO = 1.25
 _LEAST, _n = [1], 1
 while _n < 1 << 40:
@@ -57,7 +60,11 @@ def bands(n: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.nda
 
 
 def block_keys(values: np.ndarray, first: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """(key, set) of each block of each set's sketches; ``values`` are the sets' shingles, set i's at first[i]:first[i + 1]."""
+    """(key, set) of each block of each set's sketches; ``values`` are the sets' shingles, set i's at first[i]:first[i + 1].
+
+    A block's key is the XOR of its shingles' hashes. Empty blocks are equal by chance in about one of a hundred sets of a band, so
+    they have other keys: see :func:`_empty_keys`.
+    """
     n = np.diff(first)
     some = np.flatnonzero(n)
     which, band = bands(n[some], threshold)
@@ -70,10 +77,59 @@ def block_keys(values: np.ndarray, first: np.ndarray, threshold: int = THRESHOLD
     h = mix(values[at] + np.uint64(0x5851F42D4C957F2D))
     slot = np.repeat(begin, size) + ((h >> np.uint64(32)) * np.repeat(blocks, size).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     words = np.zeros(int(blocks.sum()), np.uint64)
-    np.bitwise_xor.at(words, slot, np.uint64(1) << (h & np.uint64(63)))
-    number = np.arange(len(words)) - np.repeat(begin, blocks)
-    place = mix(number.astype(np.uint64) * np.uint64(1 << 8) + np.repeat(band, blocks).astype(np.uint64) + np.uint64(1))
-    return mix(words ^ place), np.repeat(which, blocks)
+    np.bitwise_xor.at(words, slot, h)
+    count = np.bincount(slot, minlength=len(words))
+    owner = np.repeat(np.arange(len(which)), blocks)
+    number = np.arange(len(words)) - begin[owner]
+    place = mix(number.astype(np.uint64) * np.uint64(1 << 8) + band[owner].astype(np.uint64) + np.uint64(1))
+    full = np.flatnonzero(count)
+    key, of = _empty_keys(count, begin, blocks, band, owner, place)
+    return np.concatenate([mix(words[full] ^ place[full]), key]), which[np.concatenate([owner[full], of])]
+
+
+def _empty_keys(count: np.ndarray, begin: np.ndarray, blocks: np.ndarray, band: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, sketch) for pairs whose sketches agree in no block but g >= 1 that are empty in both; ``count`` shingles are in each block.
+
+    All other blocks differ in a shingle at least, and all of them in g - 1 more than there are blocks at most, so but for g - 1 of them
+    the parities of their counts are opposite. For g = 1 all are: the key is the empty block and the parities, up to their complement.
+    For g = 2 it is both blocks and one half of the parities, of which one half is opposite throughout. From g = 3 on (for many blocks
+    2) parities agree in 2g - 1 places at most, and one of 2g stretches is opposite. Sketches of more than MOST_EMPTY empty blocks
+    may agree in more of them, for which each empty block is a key by itself.
+    """
+    keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    empty = np.flatnonzero(count == 0)
+    s = owner[empty]
+    n_empty = np.bincount(s, minlength=len(blocks))
+    zero = np.zeros(1, np.uint64)
+    odd = np.concatenate([zero, np.bitwise_xor.accumulate(np.where(count & 1, place, zero))])
+    every = np.concatenate([zero, np.bitwise_xor.accumulate(place)])
+
+    def add(sketch: np.ndarray, low: np.ndarray, high: np.ndarray, without: np.ndarray, tag: np.ndarray) -> None:
+        """Keys of the parities of blocks low:high, of those but ``without``, the XOR of their places."""
+        low, high = begin[sketch] + low, begin[sketch] + high
+        parity, whole = odd[low] ^ odd[high], every[low] ^ every[high] ^ without
+        keys.append(mix(mix(np.minimum(parity, parity ^ whole) + tag) ^ mix(band[sketch].astype(np.uint64) + np.uint64(1 << 16))))
+        of.append(sketch)
+
+    add(s, np.zeros_like(s), blocks[s], place[empty], mix(place[empty] + np.uint64(1)))
+    step, few = 1, blocks < FEW_BLOCKS
+    while len(a := np.flatnonzero((s[step:] == s[:-step]) & few[s[:-step]])):
+        one, two, sketch = empty[a], empty[a + step], s[a]
+        cut = blocks[sketch] // 2
+        tag = mix(mix(place[one] + np.uint64(2)) ^ place[two])
+        left, right = (begin[sketch] + cut > x for x in (one, two))
+        add(sketch, np.zeros_like(cut), cut, np.where(left, place[one], zero) ^ np.where(right, place[two], zero), tag)
+        add(sketch, cut, blocks[sketch], np.where(left, zero, place[one]) ^ np.where(right, zero, place[two]), tag + np.uint64(1))
+        step += 1
+    for g in range(2, min(MOST_EMPTY, int(n_empty.max(initial=0))) + 1):
+        sketch = np.flatnonzero((n_empty >= g) & (~few | (g > 2)))
+        for k in range(2 * g):
+            low, high = blocks[sketch] * k // (2 * g), blocks[sketch] * (k + 1) // (2 * g)
+            add(sketch, low, high, zero, mix(np.array([(g << 16) + k], np.uint64)))
+    many = np.flatnonzero(n_empty[s] > MOST_EMPTY)
+    keys.append(mix(place[empty[many]]))
+    of.append(s[many])
+    return np.concatenate(keys), np.concatenate(of)
 
 
 def set_ids(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -169,9 +225,10 @@ def _packed_keys(df: DataFrame, column: str, n_shards: int, threshold: int) -> D
 def _tasks(packed: DataFrame) -> DataFrame:
     """(task, side, class): classes that share a block, in tasks of at most TILE a side.
 
-    A block that more classes share is cut into tiles, written once each; the pairs of tiles are made of them by a later stage, a row
-    for a tile and its partner, spread over all tasks. A task is named by its members, so that the many blocks that the same near
-    copies share make one.
+    A task is named by its members, so that the many blocks that the same classes share make one. Near copies share most of their
+    blocks, each with others of their family, so hot blocks' classes are joined into families (connected components over their
+    blocks), and all pairs of a family are compared once in place of once a block; where a family is so loose that its blocks have fewer
+    pairs, they stay. What has more than TILE classes is cut into tiles, and pairs of tiles are made by a later stage, spread over all tasks.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -185,28 +242,21 @@ def _tasks(packed: DataFrame) -> DataFrame:
         a, b = np.minimum(c[two], c[two + 1]), np.maximum(c[two], c[two + 1])
         a, b = a[a != b], b[a != b]
         pair = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-        rows: dict[tuple[int, int], tuple[int, int, int, bytes]] = {}
+        rows: dict[tuple[int, int], tuple[int, int, int, bytes, int]] = {}
         for at, n in zip(heads[size > 2].tolist(), size[size > 2].tolist()):
             m = np.unique(c[at : at + n])
             if len(m) > 1:
                 name = int.from_bytes(hashlib.blake2b(m.tobytes(), digest_size=8).digest(), "little", signed=True)
                 tiles = -(-len(m) // TILE)
                 for t in range(tiles):
-                    rows[name, t] = (name, t, tiles, m[t * TILE : (t + 1) * TILE].tobytes())
+                    rows[name, t] = (name, t, tiles, m[t * TILE : (t + 1) * TILE].tobytes(), len(m))
         made = list(rows.values())
         name = [mix(mix(pair[:, 0]) + pair[:, 1]).view(np.int64), np.array([r[0] for r in made], np.int64)]
         one = [np.zeros(len(pair), np.int64), np.array([r[1] for r in made], np.int64)]
         many = [np.ones(len(pair), np.int64), np.array([r[2] for r in made], np.int64)]
+        size = [np.full(len(pair), 2), np.array([r[4] for r in made], np.int64)]
         members = [x.tobytes() for x in pair] + [r[3] for r in made]
-        return pa.table({"name": np.concatenate(name), "tile": np.concatenate(one), "tiles": np.concatenate(many), "members": pa.array(members, pa.binary())})
-
-    tiles = stored(packed.groupBy("shard").applyInArrow(run, "name long, tile long, tiles long, members binary").dropDuplicates(["name", "tile"]), "tiles")
-    few, hot = tiles.where("tiles = 1"), tiles.where("tiles > 1")
-    few = few.select(F.col("name").alias("task"), F.lit(0).cast("byte").alias("side"), "members")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
-    hot = hot.repartition("name", "tile").select("name", "tile", "members", other)
-    side = F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).cast("byte").alias("side")
-    hot = hot.select(F.xxhash64("name", F.least("tile", "other"), F.greatest("tile", "other")).alias("task"), side, "members")
+        return pa.table({"name": np.concatenate(name), "tile": np.concatenate(one), "tiles": np.concatenate(many), "size": np.concatenate(size), "members": pa.array(members, pa.binary())})
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +265,27 @@ def _tasks(packed: DataFrame) -> DataFrame:
             classes = np.frombuffer(b"".join(batch.column("members").to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("task").take(owner), batch.column("side").take(owner), pa.array(classes)], ["task", "side", "class"])
 
-    return few.union(hot).mapInArrow(unfold, "task long, side byte, class long")
+    tiles = stored(packed.groupBy("shard").applyInArrow(run, "name long, tile long, tiles long, size long, members binary").dropDuplicates(["name", "tile"]), "tiles")
+    small = tiles.where(f"size <= {HOT} and tiles = 1").select(F.col("name").alias("task"), F.lit(0).cast("byte").alias("side"), "members")
+    out = small.mapInArrow(unfold, "task long, side byte, class long")
+    hot = tiles.where(f"size > {HOT} or tiles > 1")
+    if hot.isEmpty():
+        return out
+    n_parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = hot.select(F.col("name").alias("task"), F.lit(0).cast("byte").alias("side"), "members").mapInArrow(unfold, "task long, side byte, class long")
+    ends = stored(members.join(members.groupBy("task").agg(F.min("class").alias("least")), "task").select("task", "least", "class"), "hot")
+    family = stored(components(ends, "least", "class"), "families")
+    blocks_ = ends.groupBy("task").agg(F.count("*").cast("double").alias("size"), F.first("least").alias("node")).join(family, "node")
+    classes = family.groupBy("label").agg(F.count("*").alias("classes"))
+    whole = blocks_.groupBy("label").agg(F.sum(F.col("size") * F.col("size")).alias("cost")).join(classes, "label")
+    whole = stored(whole.where("cast(classes as double) * classes <= cost").select("label", "classes"), "whole")
+    once = family.join(whole, "label").select(F.col("label").alias("name"), F.col("node").alias("class"), F.ceil(F.col("classes") / TILE).alias("tiles"))
+    loose = blocks_.join(whole, "label", "left_anti").select("task", F.ceil(F.col("size") / TILE).alias("tiles"))
+    rest = ends.join(loose, "task").select(F.col("task").alias("name"), "class", "tiles")
+    rows = once.unionByName(rest).repartition(n_parts, "name", "class").withColumn("tile", F.pmod(F.xxhash64("class", F.lit(3)), "tiles"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    side = F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).cast("byte").alias("side")
+    return out.unionByName(rows.select(F.xxhash64("name", F.least("tile", "other"), F.greatest("tile", "other")).alias("task"), side, "class"))
 
 
 def _by_task(rows: DataFrame, fn, columns: list[str], schema: str) -> DataFrame:
@@ -263,18 +333,22 @@ def _near(tasks: DataFrame, described: DataFrame, threshold: int) -> DataFrame:
         # similar sets have sketches of one length, or of two that are next to each other: then the longer one is folded
         for width in np.unique(lens):
             at = np.flatnonzero((lens == width) | (lens == 2 * width))
-            bits = np.stack([raw[i] if lens[i] == width else fold(raw[i], width) for i in at]).view(np.uint64)
-            for p, i in enumerate(at):
-                if cross and side[i]:
-                    continue
-                q = np.flatnonzero(side[at] == 1) if cross else np.arange(p + 1, len(at))
-                j = at[q]
-                fits = (np.minimum(lens[i], lens[j]) == width) & (cls[j] != cls[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * threshold)
-                q, j = q[fits], j[fits]
-                if len(j):
-                    far = np.bitwise_count(bits[q] ^ bits[p]).sum(1, dtype=np.int64)
-                    for x in cls[j[far <= differing(n[i] + n[j], threshold)]]:
-                        out.append((min(cls[i], x), max(cls[i], x), task))
+            if cross:
+                left, right = np.flatnonzero(side[at] == 0), np.flatnonzero(side[at] == 1)
+                p, q = np.repeat(left, len(right)), np.tile(right, len(left))
+            else:
+                p, q = np.triu_indices(len(at), 1)
+            i, j = at[p], at[q]
+            fits = (np.minimum(lens[i], lens[j]) == width) & (cls[j] != cls[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * threshold)
+            p, q, i, j = p[fits], q[fits], i[fits], j[fits]
+            if not len(p):
+                continue
+            bits = np.stack([raw[x] if lens[x] == width else fold(raw[x], width) for x in at]).view(np.uint64)
+            step = max(1, COMPARED // int(width))
+            far = np.concatenate([np.bitwise_count(bits[p[k : k + step]] ^ bits[q[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(p), step)])
+            near = far <= differing(n[i] + n[j], threshold)
+            a, b = cls[i[near]], cls[j[near]]
+            out += zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), [task] * len(a))
         return out
 
     rows = tasks.join(described.select("class", "n", "sketch"), "class")
