@@ -89,3 +89,28 @@ def test_empty_and_repeated(spark):
     df = df.union(df.where("doc_id = 0"))
     rows = S.search(df, df.where("doc_id = 0")).collect()
     assert len(rows) == 2 * 4 and {r.doc_id for r in rows} == {0, 1, 3}
+
+
+def test_known_scores_leave_out_what_is_below(spark, monkeypatch, tmp_path):
+    """A shard gives all results from a known score on, for fewer postings; passes over many small shards give what one pass gives."""
+    r = np.random.default_rng(4)
+    words = ["w%d" % i for i in range(3000)]
+    p = 1 / np.arange(1, 3001)
+    texts = [" ".join(r.choice(words, r.integers(5, 120), p=p / p.sum())) for _ in range(600)]
+    terms, first, docs, tf, lengths, order = S.postings(pa.array(texts))
+    shard = S.Shard(order.tolist(), terms, first, docs, tf.astype(float), lengths, np.diff(first), len(texts), int(lengths.sum()))
+    queries = [np.unique(shard.known(S.Words(*S.buffers(pa.array([t])), lower=True).hashes())) for t in texts[::20]]
+    plain = list(shard.search_all(queries, 10))
+    for share in (0.3, 0.8, 1.0, 1.5):
+        least = np.array([share * x[-1][0] for x in plain])
+        shard.read = shard.listed = 0
+        for want, got, low in zip(plain, shard.search_all(queries, 10, least), least):
+            assert [(round(s, 5), d) for s, d in got if s >= low] == [(round(s, 5), d) for s, d in want if s >= low]
+        assert shard.read < shard.listed or share < 1.5
+    df = table(spark, texts).repartition(7).cache()
+    asked = df.where("doc_id % 11 = 0")
+    ranks = lambda: sorted((x.query_id, x.rank, x.doc_id, round(x.score, 5)) for x in S.search(df, asked).collect())
+    monkeypatch.setattr(S, "PASSES", (0, 64))
+    one = ranks()
+    monkeypatch.setattr(S, "PASSES", (0, 20, 40, 64))
+    assert ranks() == one

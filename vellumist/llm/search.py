@@ -8,7 +8,8 @@ document over it by themselves: within a block the others' postings are read fir
 the block's maxima of what is left still reach the threshold. Only lists that every block has documents of (over one in DENSE) are not
 skipped in, as there is nothing to skip: a matrix product gives their sums for many queries at once, and bounds begin from them.
 Documents lie in the shard by their most frequent word, so that blocks are
-alike within and bounds tight. Document frequencies and lengths are global and exact, so shards' results merge exactly.
+alike within and bounds tight. Shards are searched in passes, first a few of them: what a query's k-th result of those has, any other
+shard's documents must reach, which makes more words weak from the start (MaxScore). Document frequencies and lengths are global and exact, so shards' results merge exactly.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .counts import Answers, ranked
 from .memo import places
-from .shared import blocks, filesystem, fresh, scan
+from .shared import blocks, filesystem, fresh, scan, stored
 from .text import Words, buffers, distinct, slices
 
 K1, B, TOP = 1.2, 0.75, 10
@@ -33,6 +34,8 @@ K_BLOCK = 5  # documents in a block of a posting list, as a power of two
 DENSE = 10  # a list of more than one document in so many of the shard's is dense
 TOGETHER = 64  # queries in one matrix product
 QUERY_GROUP = 4096  # queries that a task runs against a shard at a time
+LOOK_UP = 6  # postings added in the time of looking up one
+PASSES, MANY_PASSES, MANY_SHARDS = (0, 4, 64), (0, 1, 8, 64), 256  # shards searched one lot after another, in 64ths; with so many shards the latter
 EVERY = 100  # the query set: ids divisible by it
 _N, _LENGTH = np.uint64(0x1111111122222222), np.uint64(0x3333333344444444)  # keys that the number and total length of documents are asked by
 _SLACK = 1e-5  # bounds are compared with so much to spare, for rounding
@@ -101,6 +104,7 @@ class Shard:
         self.run_max = np.maximum.reduceat(self.impact, self.run) if len(self.run) else np.zeros(0)
         self.run_first = np.searchsorted(self.run, first)
         self.most = np.maximum.reduceat(self.run_max, self.run_first[:-1]) if len(self.run) else np.zeros(0)  # of each term
+        self.code = term * (self.n_blocks * self.block_size) + docs  # rising: a posting is found by its term and document
         self.read = self.listed = 0  # postings read, and postings of the terms asked for
 
     def _add(self, scores: np.ndarray, runs: np.ndarray) -> None:
@@ -114,16 +118,61 @@ class Shard:
         at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
         return at[self.terms[at] == terms] if len(self.terms) else at[:0]
 
-    def search_all(self, queries: list[np.ndarray], k: int) -> Iterator[list[tuple[float, int]]]:
-        """:meth:`search` for each query; what the dense lists give all documents is one matrix product for TOGETHER of them."""
+    def search_all(self, queries: list[np.ndarray], k: int, least: np.ndarray | None = None) -> Iterator[list[tuple[float, int]]]:
+        """:meth:`search` for each query; what the dense lists give all documents is one matrix product for TOGETHER of them. ``least``
+        has a score for each query that k documents are known to reach: others are of no use, and 0 where none are known."""
         for a in range(0, len(queries), TOGETHER):
             some = queries[a : a + TOGETHER]
             asked = np.zeros((len(some), len(self.dense)))
             for row, terms in zip(asked, some):
                 lists = self.full[terms]
                 row[lists[lists >= 0]] = 1
-            for terms, scores in zip(some, asked @ self.dense):
-                yield self.search(terms[self.full[terms] < 0], k, scores)
+            known = least[a : a + TOGETHER] if least is not None else np.zeros(len(some))
+            for terms, scores, low in zip(some, asked @ self.dense, known.tolist()):
+                terms = terms[self.full[terms] < 0]
+                yield self._above(terms, k, scores, low) if low > 0 else self.search(terms, k, scores)
+
+    def _above(self, terms: np.ndarray, k: int, scores: np.ndarray, least: float) -> list[tuple[float, int]]:
+        """:meth:`search` of the documents that reach ``least``, as in MaxScore: one needs a word that isn't weak, so those words'
+        postings are read whole, and the weak ones' are looked up for documents that they can still lift, strongest first."""
+        least -= _SLACK
+        most = self.most[terms]
+        by = np.argsort(most, kind="stable")
+        reach = np.cumsum(most[by]) + scores.max(initial=0)
+        n_weak = int(np.searchsorted(reach, least, "left"))
+        self.listed += int(self.n[terms].sum())
+        strong, weak = terms[by[n_weak:]], terms[by[:n_weak]][::-1]
+        at = places(self.first[strong], self.n[strong])
+        self.read += len(at)
+        scores = scores + np.bincount(self.docs[at], self.impact[at], len(scores))
+        left = np.append(np.cumsum(self.most[weak][::-1])[::-1], 0.0)  # the most that the weak words from each on give
+        docs = np.flatnonzero(scores + left[0] >= least)
+        total, place, many = scores[docs], 0, 8
+        while place < len(weak) and len(docs):
+            some = weak[place : place + many]
+            n = int(self.n[some].sum())
+            if n < LOOK_UP * len(some) * len(docs):  # fewer postings than it takes to look for each document in each list
+                at = places(self.first[some], self.n[some])
+                total = total + np.bincount(self.docs[at], self.impact[at], len(scores))[docs]
+                self.read += n
+            else:
+                code = (some[:, None] * (self.n_blocks * self.block_size) + docs).ravel()
+                at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+                hit = self.code[at] == code
+                total = total + np.where(hit, self.impact[at], 0.0).reshape(len(some), -1).sum(0)
+                self.read += int(hit.sum())
+            place, many = place + len(some), 2 * many
+            able = total + left[place] >= least
+            docs, total = docs[able], total[able]
+        if len(docs) > k:
+            able = total >= np.partition(total, -k)[-k] - _SLACK
+            docs, total = docs[able], total[able]
+        able = (total >= least) & (total > 0)
+        return self._best(docs[able], total[able], k)
+
+    def _best(self, docs: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[float, int]]:
+        ranking = sorted(zip((-np.round(scores, 6)).tolist(), docs.tolist()), key=lambda x: (x[0], self.ids[x[1]] is None, self.ids[x[1]] or 0, x[1]))
+        return [(-s, d) for s, d in ranking[:k]]
 
     def search(self, terms: np.ndarray, k: int, scores: np.ndarray) -> list[tuple[float, int]]:
         """(score rounded to six places, document) of the best k of this shard. ``terms`` are places in self.terms of words whose lists
@@ -167,8 +216,7 @@ class Shard:
             at, many = at + len(chosen), GROWTH * many
         scores.reshape(-1, self.block_size)[~done] = 0  # whose bounds are below the threshold
         docs = np.flatnonzero(scores >= max(threshold - _SLACK, 1e-300))
-        ranking = sorted(zip((-np.round(scores[docs], 6)).tolist(), docs.tolist()), key=lambda x: (x[0], self.ids[x[1]] is None, self.ids[x[1]] or 0, x[1]))
-        return [(-s, d) for s, d in ranking[:k]]
+        return self._best(docs, scores[docs], k)
 
 
 def _dump(arrays: dict[str, np.ndarray]) -> bytes:
@@ -251,33 +299,66 @@ def search(df: DataFrame, queries: DataFrame, k: int = TOP, column: str = "text"
     docs = scan(df.select(F.col(key).cast("long").alias("_key"), F.col(column).alias("text")), ["_key", "text"])
     shards = build(docs, f"{root}/shards")
     n_groups = pack_queries(queries.select(F.col(key).cast("long").alias(key), column), f"{root}/queries", column, key)
-    tasks = shards.select("path", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"))  # the query set in blocks against all rows
+    n = shards.count()
+    bounds = MANY_PASSES if n >= MANY_SHARDS else PASSES
+    lot = F.pmod(F.xxhash64("path"), F.lit(bounds[-1]))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    found: DataFrame | None = None
+    for low, high in zip(bounds, bounds[1:]):
+        some = shards.where(lot.between(low, high - 1))
+        many = some.count()
+        if not many:
+            continue
+        known = ""
+        if found is not None:  # what the k-th of a query's results so far has is the least that any other shard's must reach
+            known = f"{root}/known-{low}"
+            found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("group", "q", "score").repartition("group").write.partitionBy("group").parquet(known)
+        # the query set in groups against all rows; a task has one shard
+        tasks = some.select("path", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"))
+        tasks = tasks.repartitionByRange(many if many >= 64 else many * n_groups, "path", "group")
+        more = tasks.mapInArrow(_searcher(root, known, k, key), "q long, group long, query_id long, doc_id long, score double")
+        if high < bounds[-1]:
+            more = stored(more, "found")
+        found = more if found is None else found.unionByName(more)
+    if found is None:
+        found = spark.createDataFrame([], "q long, group long, query_id long, doc_id long, score double")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+def _searcher(root: str, known: str, k: int, key: str):
+    """For workers: (path, group) -> the group's results in the shard; ``known`` is the folder of scores that must be reached, or none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
         from pyarrow.fs import FileType
 
         fs, base = filesystem(f"{root}/queries")
+        least_at = filesystem(known)[1] if known else ""
         shard, loaded = None, None
+
+        def table(where: str, columns: list[str]) -> pa.Table | None:
+            if fs.get_file_info(where).type == FileType.NotFound:
+                return None
+            return ds.dataset(where, filesystem=fs, format="parquet").to_table(columns=columns)
+
         for batch in batches:
             for path, group in zip(batch.column("path").to_pylist(), batch.column("group").to_pylist()):
-                where = f"{base}/_group={group}"
-                if fs.get_file_info(where).type == FileType.NotFound:
+                asked = table(f"{base}/_group={group}", ["_query", key, "terms"])
+                if asked is None:
                     continue  # no query has this number
                 if path != loaded:
                     shard, loaded = load(fs, path), path
-                asked = ds.dataset(where, filesystem=fs, format="parquet").to_table(columns=["_query", key, "terms"])
                 q, ids, terms = (c.to_pylist() for c in asked.columns)
-                found_ = shard.search_all([shard.known(np.frombuffer(x, np.uint64)) for x in terms], k)
-                out = [(a, b, shard.ids[d], s) for a, b, best in zip(q, ids, found_) for s, d in best]
+                scores = table(f"{least_at}/group={group}", ["q", "score"]) if known else None
+                reached = dict(zip(*(c.to_pylist() for c in scores.columns))) if scores is not None else {}
+                least = np.array([reached.get(x, 0.0) for x in q])
+                found = shard.search_all([shard.known(np.frombuffer(x, np.uint64)) for x in terms], k, least)
+                out = [(a, group, b, shard.ids[d], s) for a, b, best in zip(q, ids, found) for s, d in best]
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["q", "query_id", "doc_id", "score"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["q", "group", "query_id", "doc_id", "score"])
 
-    n = max(1, shards.count())
-    found = tasks.repartition(min(100_000, n * n_groups), "path", "group").mapInArrow(run, "q long, query_id long, doc_id long, score double")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+    return run
 
 
 def op1_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
