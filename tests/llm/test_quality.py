@@ -1,4 +1,6 @@
+import os
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -183,3 +185,17 @@ def test_small_tables(spark):
         b = brute(x)
         assert [rows[i][k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == b
         assert rows[i].base_failed == (b[0] < 50 or 100 * b[4] > 50 * b[0])
+
+
+def test_tables_that_are_not_read_again_are_removed(spark, monkeypatch, tmp_path):
+    made = []
+
+    def fresh(session, name):
+        made.append(str(tmp_path / f"{name}-{len(made)}"))
+        return "file://" + made[-1]
+
+    for module in (Q, sys.modules["vellumist.llm.shared"], sys.modules["vellumist.llm.counts"]):
+        monkeypatch.setattr(module, "fresh", fresh)
+    rows = Q.quality_rules(table(spark, ["some words of a text " * 9, "other words " * 30, None])).collect()
+    assert len(rows) == 3 and any("/runs-" in x for x in made)
+    assert {os.path.basename(x).split("-")[0] for x in made if os.path.exists(x)} & {"ngrams", "runs", "probabilities", "model"} == set()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .counts import Answers, block_reader, folders, packed_keys, ranked, shard_edges, unpacked_keys, write_by_block
-from .shared import blocks, fresh, scan, shards, stored
+from .shared import blocks, fresh, remove, scan, shards, stored, stored_at
 from .text import Words, buffers, distinct, hash_pieces, mix, slices, trim
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -136,12 +136,18 @@ def discounts(counts: dict[int, int]) -> list[float]:
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, p): the interpolated modified Kneser-Ney probability of each counted run's last byte after the bytes before it."""
-    levels = [stored(counts, "runs")]
+    return _kneser_ney_at(counts, order)[0]
+
+
+def _kneser_ney_at(counts: DataFrame, order: int) -> tuple[DataFrame, str]:
+    """:func:`kneser_ney`, and where its table lies. Those below it are removed once they aren't read any more."""
+    spark = counts.sparkSession
+    levels = [stored_at(counts, "runs")]
     for k in range(order - 1, 0, -1):
-        short = levels[-1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram"))
-        levels.append(stored(short.agg(F.count("*").alias("n")), "runs"))
+        short = levels[-1][0].groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram"))
+        levels.append(stored_at(short.agg(F.count("*").alias("n")), "runs"))
     below = None
-    for k, t in enumerate(reversed(levels)):
+    for k, (t, path) in enumerate(reversed(levels)):
         d = discounts({r[0]: r[1] for r in t.where("n < 5").groupBy("n").count().collect()})  # four rows
         t = t.withColumn("ctx", F.shiftright("gram", 8)).withColumn("d", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
         of = t.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
@@ -149,25 +155,31 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         if below is None:
             under = F.lit(1 / 256)
         else:
-            t = t.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))).join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("under")), "suffix")
+            t = t.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))).join(below[0].select(F.col("gram").alias("suffix"), F.col("p").alias("under")), "suffix")
             under = F.col("under")
-        below = stored(t.select("gram", ((F.col("n") - F.col("d") + F.col("left") * under) / F.col("total")).alias("p")), "probabilities")
+        above = stored_at(t.select("gram", ((F.col("n") - F.col("d") + F.col("left") * under) / F.col("total")).alias("p")), "probabilities")
+        for read in [path, *([below[1]] if below else [])]:
+            remove(spark, read)
+        below = above
     return below
 
 
 class Model:
-    """The model's sorted hash arrays in the shared folder, and its answers to each block of ``docs``."""
+    """The model's answers to each block of ``docs`` in the shared folder; its sorted hash arrays lie there until all are given."""
 
     def __init__(self, docs: DataFrame, column: str):
         spark = docs.sparkSession
         n_shards = shards(docs)
-        rows = stored(_count_and_ask(docs, column, n_shards), "ngrams")
-        probabilities = kneser_ney(_unfolded(rows))
-        self.arrays = stored(self._packed(probabilities, n_shards), "model")
+        rows, rows_at = stored_at(_count_and_ask(docs, column, n_shards), "ngrams")
+        probabilities, probabilities_at = _kneser_ney_at(_unfolded(rows), ORDER)
+        arrays, arrays_at = stored_at(self._packed(probabilities, n_shards), "model")
+        remove(spark, probabilities_at)
         asked = rows.where("shard >= 0").select("shard", "block", "keys")
         self.path, self.parts = fresh(spark, "answers"), folders(docs)
-        answers = self.arrays.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(look_up, "block long, a long, data binary")
+        answers = arrays.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(look_up, "block long, a long, data binary")
         write_by_block(answers.withColumn("part", F.pmod("block", F.lit(self.parts))), self.path, self.parts)
+        for path in (rows_at, arrays_at):  # all that is read from here on are the answers
+            remove(spark, path)
 
     @staticmethod
     def _packed(probabilities: DataFrame, n_shards: int) -> DataFrame:

@@ -49,9 +49,14 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` written once in the shared folder and read from there: a cut in the lineage."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """:func:`stored`, and the path: for tables that are removed when what is made of them has been written."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:
