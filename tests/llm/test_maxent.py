@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from cases import TEXTS, empty, table
 from vellumist.llm import maxent as M
-from vellumist.llm.counts import Answers
+from vellumist.llm.counts import Answers, ranked_hashes
 from vellumist.llm.shared import scan
 
 
@@ -160,3 +160,21 @@ def test_small_tables(spark):
     df = spark.createDataFrame([(None, "a b"), (5, None), (5, None)], "doc_id long, text string")
     rows = M.score_texts(df).collect()
     assert len(rows) == 3 and sorted(r.n_tokens for r in rows) == [1, 1, 3] and all(math.isfinite(r.score) for r in rows)
+
+
+def test_ranks_of_hashes_are_those_of_a_plain_sort():
+    r = np.random.default_rng(3)
+    wide = r.integers(0, 1 << 63, 70000, dtype=np.uint64) << np.uint64(1)
+    close = np.concatenate([wide, wide[:20] + np.uint64(1), wide[:9] + np.uint64(2)])[::-1]  # a few differ in their lowest bits only
+    for h in (wide[:0], wide[:1], wide, np.concatenate([wide, wide]), close, r.integers(0, 40, 5000).astype(np.uint64)):
+        keys, at = ranked_hashes(h)
+        plain, inverse = np.unique(h, return_inverse=True)
+        assert (keys == plain).all() and len(keys) == len(plain) and (at == inverse).all()
+
+
+def test_a_step_is_put_in_order_by_row_and_place():
+    rows = np.random.default_rng(4).integers(M.MOST_ROWS - 50, M.MOST_ROWS, (M.FEATURES, M.STEP)).astype(np.int32)
+    x = M.by_row(rows).astype(np.int64)
+    order = np.argsort(rows.ravel(), kind="stable")
+    assert x.nbytes == 8 * rows.size and (x % (M.FEATURES * M.STEP) == order).all() and (x // (M.FEATURES * M.STEP) == rows.ravel()[order]).all()
+    assert M.by_row(rows).itemsize == 4

@@ -157,3 +157,36 @@ def ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.empty(len(h), np.int32 if len(h) < 1 << 31 else np.int64)
     inverse[order] = np.repeat(np.arange(len(heads), dtype=inverse.dtype), np.diff(np.append(heads, len(h))))
     return keys, inverse
+
+
+def ranked_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`ranked` of values that differ in their high bits: these are sorted with each value's place in the low bits, which needs no
+    index beside them. The few values that differ only below are put in order afterwards; where they aren't few, all are ranked anew."""
+    n = len(h)
+    bits = np.uint64(max(1, n - 1).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    order = h & ~low
+    order |= np.arange(n, dtype=np.uint64)
+    order.sort()
+    order &= low
+    order = order.view(np.int64)
+    in_order = np.take(h, order)
+    wrong = np.flatnonzero(in_order[1:] < in_order[:-1])
+    if len(wrong) > max(64, n >> 12):
+        return ranked(h)
+    if len(wrong):
+        high = in_order >> bits
+        for value in np.unique(high[wrong]):
+            a, b = np.searchsorted(high, value, "left"), np.searchsorted(high, value, "right")
+            order[a:b] = order[a:b][np.argsort(in_order[a:b])]
+            in_order[a:b] = h[order[a:b]]
+        del high
+    head = np.ones(n, bool)
+    np.not_equal(in_order[1:], in_order[:-1], out=head[1:])
+    keys = in_order[head]
+    del in_order
+    inverse = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
+    rank = np.cumsum(head, dtype=inverse.dtype)
+    rank -= 1
+    inverse[order] = rank
+    return keys, inverse
