@@ -101,3 +101,32 @@ def test_detection_moves_rows_of_pages_only(spark):
         p = plan(q(spark, DIR))
         assert "Window [count" not in p and "_cx" not in p, q.__name__
     assert "Exchange" not in plan(boxes.det_hungarian(spark, DIR))
+
+
+def test_edit_distance_is_exact_within_and_beyond_its_bounds(spark):
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abé日") for _ in range(n))
+    rows = [(a := word(r.randint(0, 150)), "".join(c for c in a if r.random() < q) + word(r.randint(0, 5))) for q in (0.5, 0.9, 0.99) for _ in range(25)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert all(x.d == plain(x.a, x.b) for x in df.select("*", text.edit_distance(F.col("a"), F.col("b")).alias("d")).collect())
+    sentences = [(" ".join(a), " ".join(b)) for a, b in rows]
+    for x in spark.createDataFrame(sentences, "a string, b string").select("*", text.reading_metrics(F.col("a"), F.col("b")).alias("m")).collect():
+        e, p = x.a.split(), x.b.split()
+        cer, wer = plain(x.a, x.b) / max(1, len(x.a), len(x.b)), plain(e, p) / max(1, len(e), len(p))
+        if x.a and x.b:
+            assert abs(x.m.cer - cer) < 1e-9 and abs(x.m.wer - wer) < 1e-9 and abs(x.m.anls - (1 - cer if cer < 0.5 else 0)) < 1e-9
+
+
+def test_a_text_is_measured_once(spark):
+    """The edit distance of letters, that of words and the list of distinct words stand in the plan once, and none is made anew a word."""
+    df = spark.createDataFrame([("a b", "a c")], "e string, p string").select(text.reading_metrics(F.col("e"), F.col("p")).alias("m"))
+    p = df._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("levenshtein(") <= 6 and p.count("array_distinct(") == 1

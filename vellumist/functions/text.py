@@ -88,6 +88,12 @@ def normalize(form: str):
     return run
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """The exact edit distance. Bounds that grow are tried first, as a distance within one costs the length times the bound."""
+    within = [F.filter(F.array(F.levenshtein(a, b, k)), lambda d: d >= 0) for k in (8, 64)]
+    return F.coalesce(*(F.get(w, F.lit(0)) for w in within), F.levenshtein(a, b))
+
+
 def distance_rate(expected: Column, predicted: Column, distance: Column | None = None) -> Column:
     """Edit distance over the longer length; 0 for two empty texts, 1 where only the expected one is empty.
 
@@ -113,22 +119,32 @@ def _coded(ws: Column, vocabulary: Column) -> Column:
 
 def word_error_rate(expected: Column, predicted: Column) -> Column:
     """Word edit distance over the larger number of words."""
-    e, p = words(expected), words(predicted)
-    v = F.array_distinct(F.concat(e, p))
-    longest = F.greatest(F.size(e), F.size(p))
-    return F.when(longest == 0, 0.0).when(F.size(e) == 0, 1.0).when(e == p, 0.0).otherwise(F.levenshtein(_coded(e, v), _coded(p, v)) / F.greatest(longest, F.lit(1)))
+
+    def rate(s: Column) -> Column:
+        e, p = s["e"], s["p"]
+        longest = F.greatest(F.size(e), F.size(p))
+        codes = lambda v: F.struct(_coded(e, v).alias("e"), _coded(p, v).alias("p"))
+        distance = let(let(F.array_distinct(F.concat(e, p)), codes), lambda c: edit_distance(c["e"], c["p"]))
+        return F.when(longest == 0, 0.0).when(F.size(e) == 0, 1.0).when(e == p, 0.0).otherwise(distance / F.greatest(longest, F.lit(1)))
+
+    return let(F.struct(words(expected).alias("e"), words(predicted).alias("p")), rate)
 
 
 def reading_metrics(expected: Column, predicted: Column, threshold: float = 0.5) -> Column:
     """Exact match, ANLS, CER and WER of squeezed texts; WER is null between CJK texts without blanks."""
-    e, p = squeeze(expected), squeeze(predicted)
-    unsegmented = is_cjk(e) & is_cjk(p) & ~e.contains(" ") & ~p.contains(" ")
-    return F.struct(
-        (e == p).cast("double").alias("exact_match"),
-        anls(e, p, threshold).alias("anls"),
-        distance_rate(e, p).alias("cer"),
-        F.when(~unsegmented, word_error_rate(e, p)).alias("wer"),
-    )
+
+    def metrics(s: Column) -> Column:
+        e, p = s["e"], s["p"]
+        unsegmented = is_cjk(e) & is_cjk(p) & ~e.contains(" ") & ~p.contains(" ")
+        rates = lambda d: F.struct(
+            (e == p).cast("double").alias("exact_match"),
+            anls(e, p, threshold, d).alias("anls"),
+            distance_rate(e, p, d).alias("cer"),
+            F.when(~unsegmented, word_error_rate(e, p)).alias("wer"),
+        )
+        return let(F.when(e == p, 0).otherwise(edit_distance(e, p)), rates)
+
+    return let(F.struct(squeeze(expected).alias("e"), squeeze(predicted).alias("p")), metrics)
 
 
 def has_placeholder(c: Column) -> Column:
