@@ -66,8 +66,9 @@ def fill(question: Column, image: Column, text: Column, box: Column) -> Column:
 
 def same_text(words: DataFrame, chosen: DataFrame, page: str = "page_id") -> DataFrame:
     """(page, text, boxes): the boxes of all words of a page that equal the chosen text without case and blanks, in reading order."""
-    key = F.lower(F.trim("text")).alias("k")
-    hits = words.select(page, key, "x1", "y1", "x2", "y2").join(chosen.select(page, F.lower(F.trim("text")).alias("k")).distinct(), [page, "k"])
+    key = F.lower(F.trim("text"))
+    asked = chosen.groupBy(page).agg(F.collect_set(key).alias("_asked"))  # a row a page, so that words are joined where they lie by page
+    hits = words.select(page, key.alias("k"), "x1", "y1", "x2", "y2").join(asked, page).where(F.array_contains("_asked", F.col("k"))).drop("_asked")
     boxes = F.transform(F.array_sort(F.collect_list(F.struct("y1", "x1", "x2", "y2"))), lambda b: F.array(b["x1"], b["y1"], b["x2"], b["y2"]))
     return hits.groupBy(page, "k").agg(boxes.alias("boxes"))
 

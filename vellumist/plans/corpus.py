@@ -169,7 +169,7 @@ def eligible_items(spark, d):
 
 def cond_detection_lookup(spark, d):
     """Boxes of all words of a page that equal its first word."""
-    w = words(spark, d)
+    w = words(spark, d, by_page=True)
     first = w.groupBy("page_id").agg(F.min_by("text", "idx").alias("text"))
     r = tasks.same_text(w, first)
     return r.select("page_id", "k", F.size("boxes").alias("n"), F.aggregate(F.flatten("boxes"), F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
