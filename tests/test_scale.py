@@ -130,3 +130,66 @@ def test_a_text_is_measured_once(spark):
     df = spark.createDataFrame([("a b", "a c")], "e string, p string").select(text.reading_metrics(F.col("e"), F.col("p")).alias("m"))
     p = df._jdf.queryExecution().optimizedPlan().toString()
     assert p.count("levenshtein(") <= 6 and p.count("array_distinct(") == 1
+
+
+def test_lines_are_found_as_by_plain_search():
+    from vellumist.operators import layout
+
+    r = random.Random(9)
+    for _ in range(300):
+        y1 = [r.choice([r.randint(0, 40), r.uniform(-20, 40)]) for _ in range(r.randint(0, 40))]
+        y2 = [a + r.choice([3, 9, r.uniform(1, 12)]) for a in y1]
+        for tolerance in (0, 1, 5):
+            anchors, want = [], []
+            for a, b in zip(y1, y2):
+                g = next((k for k, (p, q) in enumerate(anchors) if abs(p - a) <= tolerance and abs(q - b) <= tolerance), None)
+                if g is None:
+                    g = len(anchors)
+                    anchors.append((a, b))
+                want.append(g + 1)
+            assert layout.anchored_groups(y1, y2, tolerance) == want
+        height, lines, want = min((b - a for a, b in zip(y1, y2)), default=0), [], []
+        for a, b in zip(y1, y2):
+            mid = (a + b) / 2
+            k = next((k for k, x in enumerate(lines) if abs(mid - x[0]) <= height), None)
+            if k is None:
+                lines.append([mid, 1, len(lines)])
+            else:
+                x = lines.pop(k)
+                lines.append([(x[0] * x[1] + mid) / (x[1] + 1), x[1] + 1, x[2]])
+            want.append(lines[-1][2])
+        assert layout.moving_clusters(y1, y2) == want
+
+
+def test_many_lines_cost_no_search_of_all():
+    import time
+
+    from vellumist.operators import layout
+
+    y = [40.0 * k for k in range(5000) for _ in range(20)]
+    began = time.process_time()
+    assert len(set(layout.moving_clusters(y, [v + 16 for v in y]))) == len(set(layout.anchored_groups(y, [v + 16 for v in y]))) == 5000
+    assert time.process_time() - began < 10
+
+
+def test_pages_are_moved_once(spark):
+    """One exchange of texts; what else is exchanged is none."""
+    from vellumist.plans import registry
+
+    for name in ("layout_line_islands", "line_reading_order_text1d", "paragraph_rollup", "text2d", "degenerate_filter", "cond_detection_lookup"):
+        p = plan(registry.QUERIES[name](spark, DIR))
+        assert "ENSURE_REQUIREMENTS" not in p and "REPARTITION_BY_NUM" in p, name
+    for name in ("word_line_cluster", "moving_line_cluster"):
+        assert "Exchange" not in plan(registry.QUERIES[name](spark, DIR)), name
+
+
+def test_layout_text_of_long_lines_and_gaps(spark):
+    from vellumist.operators import layout
+
+    rows = [(1, i, "ab", 16 * i + 400 * (i == 3), 0, 16 * i + 16 + 400 * (i == 3), 16) for i in range(5)] + [(1, 9, "é", 0, 100, 8, 116), (1, 10, "x", 8, 116, 16, 132)]
+    w = spark.createDataFrame(rows, "page_id long, idx long, text string, x1 long, y1 long, x2 long, y2 long")
+    got = layout.layout_text(layout.line_islands(w), layout.line_height_and_density(w)).first()["text2d"]
+    line = ""
+    for x in sorted(r[3] for r in rows[:5]):
+        line += " " * max(round(x * 0.125) - len(line), 1 if line else 0) + "ab"
+    assert got == line + "\n\né\n x"
