@@ -193,3 +193,30 @@ def test_layout_text_of_long_lines_and_gaps(spark):
     for x in sorted(r[3] for r in rows[:5]):
         line += " " * max(round(x * 0.125) - len(line), 1 if line else 0) + "ab"
     assert got == line + "\n\né\n x"
+
+
+def test_texts_are_normalized_in_parts(spark, monkeypatch):
+    import unicodedata
+
+    texts = ["ﬁ①" * 40_000, None, "", "plain", "é" * 700_000, "ﬁ"] * 3
+    sizes, cut = [], batches.parts
+    monkeypatch.setattr(text, "parts", lambda s, limit: (sizes.append(b - a) or (a, b) for a, b in cut(s, limit)))
+    want = [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+    assert text.normalized(pa.array(texts), "NFKC").to_pylist() == want and len(sizes) > 3
+    short = ["ﬁ①", None, "", "plain"]
+    df = spark.createDataFrame(list(enumerate(short)), "i int, t string").select("i", text.normalize("NFKC")(F.col("t")).alias("t"))
+    assert [r.t for r in df.orderBy("i").collect()] == ["fi1", None, "", "plain"]
+    assert "rlike" in plan(df).lower()  # ASCII texts aren't sent
+
+
+def test_soft_matching_takes_lists_in_parts(spark, monkeypatch):
+    got, cut = [], batches.parts
+    monkeypatch.setattr(assignment, "parts", lambda s, limit: (got.append(int(sum(s[a:b]))) or (a, b) for a, b in cut(s, limit)))
+    rows = pa.RecordBatch.from_pydict({"k": list(range(100)), "e": [["ab"] * 3000] * 99 + [None], "p": [["ab"] * 3000] * 100})
+    class Frame:
+        dtypes = [("k", "bigint")]
+        select = lambda self, *a: self
+        mapInArrow = lambda self, run, schema: list(run(iter([rows])))
+    out = assignment.soft_matches(Frame(), "k", "e", "p")
+    assert sum(b.num_rows for b in out) == 100 and max(got) <= 100_000
+    assert [x for b in out for x in b.column(3).to_pylist()] == [1.0] * 99 + [0.0]
