@@ -120,3 +120,30 @@ def test_jsonl_csv_images(spark, tmp_path):
     (tmp_path / "i" / "c.jpg").write_bytes(b"no")
     got = {r.path[-5:]: (r.width, r.height, r.format) for r in S.images(spark, str(tmp_path / "i")).collect()}
     assert got == {"a.png": (640, 480, "png"), "b.jpg": (30, 20, "jpeg"), "c.jpg": (None, None, None)}
+
+
+def test_listing_is_made_by_executors_as_spark_lists(spark, tmp_path):
+    from vellumist.sources import files as X
+
+    names = ["ab/1/1.pdf", "ab/1/1.json", "ab/1/p1.JPG", "cd/22/22.pdf", "cd/22/.hidden.pdf", "cd/_tmp/3.pdf", "top.pdf", "cd/22/deep/x.tar.gz", "cd/22/no_ext", "e f/4/4.pdf"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"x" * len(n))
+    (tmp_path / "empty").mkdir()
+    r = spark.read.format("binaryFile")
+    for glob in ("", "??/*/*.pdf", "*/*/*.{pdf,json}", "{ab,cd}/[0-9]*/*", "[!a]?/*/*.pdf"):
+        path = f"file://{tmp_path}"
+        want = r.load(f"{path}/{glob}") if glob else spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        got = X.listing(spark, path, glob)
+        assert "BatchScan" not in str(got._jdf.queryExecution().executedPlan()) and "FileScan" not in str(got._jdf.queryExecution().executedPlan())
+        spell = lambda p: p.replace("%20", " ").replace("file:///", "file:/")
+        assert sorted((spell(x.path), x.size) for x in got.collect()) == sorted((spell(x.path), x.length) for x in want.select("path", "length").collect()), glob
+
+
+def test_upper_folders_stay_few(tmp_path):
+    from vellumist.sources import files as X
+
+    for k in range(300):
+        (tmp_path / "a" / str(k)).mkdir(parents=True)
+    assert X._branches(str(tmp_path), want=64, most=100) == [str(tmp_path / "a")]
+    assert len(X._branches(str(tmp_path), want=64, most=1000)) == 300

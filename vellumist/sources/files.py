@@ -1,11 +1,13 @@
 """Tables of files: folders of documents, JSON of both shapes, images in Parquet, logs; and sinks that never write in place.
 
-Paths are those of Spark's file systems; only :func:`write_files` writes single files itself, below a path that all executors mount.
+Paths are those of Spark's file systems; only :func:`write_files` and :func:`listing` handle single files themselves,
+below a path that all executors mount.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,10 +31,84 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _branches(base: str, want: int = 64, most: int = 10_000) -> list[str]:
+    """Folders and files below ``base`` that hold all its files: a level with ``want`` folders or more, or the last before ``most``."""
+    folders, files = [base], []
+    while folders and len(folders) < want:
+        below, here = [], []
+        for f in folders:
+            with os.scandir(f) as it:
+                for x in it:
+                    (below if x.is_dir() else here).append(x.path)
+                    if len(below) + len(here) + len(files) > most:
+                        return folders + files
+        folders, files = below, files + here
+    return folders + files
+
+
+def _pattern(depth_glob: str) -> re.Pattern:
+    """A glob by folders as an expression over a path below the root: as Hadoop's, * and ? stop at /, braces are alternatives."""
+    kinds = {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", "[": "[", "]": "]"}
+    out, deep, inside = "", 0, False
+    for c in depth_glob:
+        if inside:
+            out, inside = out + ("^" if c == "!" and out.endswith("[") else c), c != "]"
+            continue
+        inside, deep = c == "[", deep + (c == "{") - (c == "}")
+        out += "|" if c == "," and deep else kinds.get(c) or re.escape(c)
+    return re.compile(out)
+
+
+def _walked(spark: SparkSession, base: str, depth_glob: str) -> DataFrame:
+    """(path, length) of files, found by the executors a branch of folders at a time; the driver reads the upper folders alone."""
+    starts = _branches(base)
+    named = _pattern(depth_glob) if depth_glob else None
+    # as Spark reads folders: names that begin with _ or . are hidden
+    shown = lambda name: not name.startswith((".", "_"))
+
+    def wanted(path: str) -> bool:
+        below = os.path.relpath(path, base)
+        if named:  # a folder that the glob names stands for the files in it
+            return shown(os.path.basename(path)) and any(map(named.fullmatch, (below, os.path.dirname(below))))
+        return all(map(shown, below.split("/")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple[str, int]] = []
+        for pdf in frames:
+            for start in pdf["start"]:
+                stack = [start]
+                while stack:
+                    at = stack.pop()
+                    if not os.path.isdir(at):
+                        out += [(f"file:{at}", os.path.getsize(at))] if wanted(at) else []
+                        continue
+                    with os.scandir(at) as it:
+                        for x in it:
+                            if x.is_dir():
+                                stack.append(x.path)
+                            elif wanted(x.path):
+                                out.append((f"file:{x.path}", x.stat().st_size))
+                    if len(out) >= 10_000:
+                        yield pd.DataFrame(out, columns=["path", "length"])
+                        out = []
+        yield pd.DataFrame(out, columns=["path", "length"])
+
+    tasks = max(1, min(len(starts), 64))
+    return spark.createDataFrame([(x,) for x in starts], "start string").repartition(tasks).mapInPandas(run, "path string, length long")
+
+
 def listing(spark: SparkSession, path: str, depth_glob: str = "") -> DataFrame:
-    """(path, folder, stem, ext, size) of the files below ``path``, recursive, or of those that a glob such as ??/??/*.pdf names."""
-    r = spark.read.format("binaryFile")
-    files = r.load(f"{path}/{depth_glob}") if depth_glob else r.option("recursiveFileLookup", "true").load(path)
+    """(path, folder, stem, ext, size) of the files below ``path``, recursive, or of those that a glob such as ??/??/*.pdf names.
+
+    Folders that all executors mount are read by them, as a list of all files may be more than the driver holds; other file systems are
+    listed by Spark.
+    """
+    base = re.sub(r"^file:(//)?(?=/)", "", path).rstrip("/")
+    if base.startswith("/") and os.path.isdir(base):
+        files = _walked(spark, base, depth_glob)
+    else:
+        r = spark.read.format("binaryFile")
+        files = r.load(f"{path}/{depth_glob}") if depth_glob else r.option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", F.element_at(F.split("path", "/"), -2).alias("folder"), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1).alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("ext"), F.col("length").alias("size"))
 
